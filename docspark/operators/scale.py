@@ -99,17 +99,6 @@ def running_sums(
         (F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
-def substrings_of(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``text`` with one of the given lengths."""
-    def of_length(size: Column) -> Column:
-        last = F.length(text) - size + 1
-        return F.when(last >= 1, F.transform(
-            F.sequence(F.lit(1), last), lambda at: F.substring(text, at, size))
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-
-
 def contains_join(
     haystacks: DataFrame, haystack: str, needles: DataFrame, needle: str,
     equal: Sequence[str] = (),
@@ -122,6 +111,11 @@ def contains_join(
     """
     lengths = needles.agg(
         F.sort_array(F.collect_set(F.length(needle))).alias("lengths")).scalar()
-    pieces = haystacks.withColumn(
-        needle, F.explode(substrings_of(F.col(haystack), lengths)))
+    text, size = F.col(haystack), F.col("_size")
+    sized = haystacks.withColumn("_size", F.explode(lengths)).filter(
+        F.length(text) >= size)
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.length(text) - size + 1),
+        lambda at: F.substring(text, at, size))
+    pieces = sized.withColumn(needle, F.explode(F.array_distinct(cuts))).drop("_size")
     return pieces.join(needles, [*equal, needle])
