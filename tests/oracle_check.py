@@ -70,8 +70,9 @@ def compare(spark, con, plan, folder):
     if columns != sql_columns:
         return f"columns {columns} != {sql_columns}", len(rows)
     if rows != sql_rows:
-        only_spark = [r for r in rows if r not in set(sql_rows)][:3]
-        only_sql = [r for r in sql_rows if r not in set(rows)][:3]
+        left, right = set(rows), set(sql_rows)
+        only_spark = sorted(left - right, key=repr)[:3]
+        only_sql = sorted(right - left, key=repr)[:3]
         return (
             f"{len(rows)} vs {len(sql_rows)} rows\n   {columns}\n"
             f"   spark {only_spark}\n   sql   {only_sql}"), len(rows)
