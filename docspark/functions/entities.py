@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark import fixed_values as fv
 from docspark.functions.basics import (
-    blank_to_null, col, extract, first_match, lookup, only_filled, strip)
+    blank_to_null, cascade, col, extract, first_match, lookup, only_filled, strip)
 from docspark.functions.registration import (
     extract_registration, normalise_registration)
 
@@ -155,40 +155,37 @@ def _joined(patterns: list[str]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def _value_of(match: Column, patterns: list[str]) -> Column:
+    """The captured value of one match: only one alternative's group is set,
+    so concatenating the groups yields it."""
+    joined = _joined(patterns)
+    return F.concat(*[
+        F.regexp_extract(match, joined, g + 1) for g in range(len(patterns))])
+
+
 def compact_entities_first(text: str | Column) -> Column:
     """First occurrence per field of the compact pattern set.
 
-    The earliest position in the text wins across the alternatives; only one
-    alternative's group is set, so concatenating the groups yields it.
+    The text is scanned once per field; the earliest position wins across the
+    alternatives, and the groups are read from the short match.
     """
-    out = []
-    for field, patterns in fv.COMPACT_ENTITY_PATTERNS.items():
-        joined = _joined(patterns)
-        groups = [
-            F.regexp_extract(col(text), joined, g + 1)
-            for g in range(len(patterns))]
-        value = blank_to_null(F.concat(*groups))
-        out.append(_complete(field, value).alias(field))
-    return F.struct(*out)
+    return F.struct(*[
+        cascade(
+            F.regexp_extract(col(text), _joined(patterns), 0),
+            lambda m, p=patterns, f=field: [_complete(f, only_filled(_value_of(m, p)))],
+        ).alias(field)
+        for field, patterns in fv.COMPACT_ENTITY_PATTERNS.items()])
 
 
 def compact_entities_all(text: str | Column) -> Column:
     """Every distinct occurrence per field, in order of the text."""
     out = []
     for field, patterns in fv.COMPACT_ENTITY_PATTERNS.items():
-        joined = F.lit(_joined(patterns))
-        columns = [
-            F.regexp_extract_all(col(text), joined, F.lit(g + 1))
-            for g in range(len(patterns))]
-        if len(columns) == 1:
-            merged = columns[0]
-        else:
-            merged = F.transform(
-                F.arrays_zip(*[c.alias(f"g{i}") for i, c in enumerate(columns)]),
-                lambda z: F.concat(*[z[f"g{i}"] for i in range(len(patterns))]))
-        cleaned = F.transform(merged, lambda v: strip(v))
+        matches = F.regexp_extract_all(
+            col(text), F.lit(f"({_joined(patterns)})"), F.lit(0))
+        values = F.transform(matches, lambda m, p=patterns: strip(_value_of(m, p)))
         out.append(
-            F.array_distinct(F.filter(cleaned, lambda v: v != "")).alias(field))
+            F.array_distinct(F.array_remove(values, "")).alias(field))
     return F.struct(*out)
 
 

@@ -2,3 +2,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 def ranked(frame, order, limit):
     top = frame.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def in_given_order(docs, ids):
+    rank = F.array_position(F.array(*[F.lit(i).cast("long") for i in ids]), F.col("id"))
+    return docs.filter(F.col("id").isin(ids)).select("id", rank.alias("rank"), *[c for c in docs.columns if c != "id"]).orderBy("rank")

@@ -106,8 +106,11 @@ FROM cat_documents""",
     "cat_ocr_runs": """
 SELECT id, ocr_confidence AS old_confidence, CAST(id * 41 % 1001 AS DOUBLE) / 10 AS new_confidence,
   needs_review AS old_review, id * 41 % 1001 < 550 AS new_review FROM cat_documents""",
+    "cat_processing_log": """
+SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+  value AS duration_s, ts AS at FROM events""",
     "cat_import_log": """
-SELECT l_orderkey * 10 + l_linenumber AS id, CAST(date_trunc('year', l_shipdate) AS DATE) AS run,
+SELECT CAST(date_trunc('year', l_shipdate) AS DATE) AS run,
   'TS-IN' || chr(65 + s_nationkey) AS aircraft,
   CASE l_returnflag WHEN 'N' THEN 'imported' WHEN 'A' THEN 'duplicate' ELSE 'error' END AS status,
   l_quantity AS duration_s

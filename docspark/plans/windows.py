@@ -141,9 +141,9 @@ def w07(t: Tables) -> DataFrame:
 @plan("w09_running_statistics", """
 SELECT id, count(*) OVER w AS processed, count(*) FILTER (WHERE status = 'error') OVER w AS errors,
   RND[CAST(sum(CAST(duration_s AS DECIMAL(18,6))) OVER w AS DOUBLE) / count(*) OVER w;3] AS avg_duration_s
-FROM cat_import_log WINDOW w AS (ORDER BY id ROWS UNBOUNDED PRECEDING)""")
+FROM cat_processing_log WINDOW w AS (ORDER BY id ROWS UNBOUNDED PRECEDING)""")
 def w09(t: Tables) -> DataFrame:
-    return win.running_statistics(t.import_log())
+    return win.running_statistics(t.processing_log())
 
 
 @plan("w10_context_budget", """

@@ -257,9 +257,16 @@ class Tables:
         lines, suppliers = self.raw("lineitem"), self.raw("supplier")
         return lines.join(
             suppliers, lines.l_suppkey == suppliers.s_suppkey).select(
-            F.expr("l_orderkey * 10 + l_linenumber").alias("id"),
             F.expr("CAST(date_trunc('year', l_shipdate) AS DATE)").alias("run"),
             F.expr("'TS-IN' || chr(65 + s_nationkey)").alias("aircraft"),
             F.expr("""CASE l_returnflag WHEN 'N' THEN 'imported'
                 WHEN 'A' THEN 'duplicate' ELSE 'error' END""").alias("status"),
             F.col("l_quantity").alias("duration_s"))
+
+    def processing_log(self) -> DataFrame:
+        """One row per processed document, in id order."""
+        return self.raw("events").select(
+            F.col("event_id").alias("id"),
+            F.expr("CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END")
+            .alias("status"),
+            F.col("value").alias("duration_s"), F.col("ts").alias("at"))
