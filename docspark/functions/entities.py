@@ -179,14 +179,14 @@ def compact_entities_first(text: str | Column) -> Column:
 
 def compact_entities_all(text: str | Column) -> Column:
     """Every distinct occurrence per field, in order of the text."""
-    out = []
-    for field, patterns in fv.COMPACT_ENTITY_PATTERNS.items():
+    def values(patterns: list[str]) -> Column:
         matches = F.regexp_extract_all(
             col(text), F.lit(f"({_joined(patterns)})"), F.lit(0))
-        values = F.transform(matches, lambda m, p=patterns: strip(_value_of(m, p)))
-        out.append(
-            F.array_distinct(F.array_remove(values, "")).alias(field))
-    return F.struct(*out)
+        return F.transform(matches, lambda m: strip(_value_of(m, patterns)))
+
+    return F.struct(*[
+        F.array_distinct(F.array_remove(values(patterns), "")).alias(field)
+        for field, patterns in fv.COMPACT_ENTITY_PATTERNS.items()])
 
 
 def entity_features(entities: dict[str, Column]) -> list[Column]:
