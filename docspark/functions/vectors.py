@@ -19,44 +19,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dot_literal(vector: Column, query: Sequence[float]) -> Column:
-    """Dot product with a literal vector.
-
-    Short vectors are unrolled into plain arithmetic, which stays inside
-    whole-stage code generation; long ones use a higher-order function.
-    """
-    if len(query) > _UNROLL_LIMIT:
-        return dot(vector, F.array(*[F.lit(float(q)) for q in query]))
-    total = F.lit(0.0)
-    for i, q in enumerate(query):
-        total = total + F.get(vector, F.lit(i)).cast("double") * F.lit(float(q))
-    return total
-
-
 def norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
 
 
-def norm_unrolled(vector: Column, width: int) -> Column:
-    if width > _UNROLL_LIMIT:
-        return norm(vector)
-    total = F.lit(0.0)
-    for i in range(width):
-        x = F.get(vector, F.lit(i)).cast("double")
-        total = total + x * x
-    return F.sqrt(total)
-
-
 def cosine(a: str | Column, b: str | Column, epsilon: float = 1e-8) -> Column:
     x, y = col(a), col(b)
     return dot(x, y) / (norm(x) * norm(y) + F.lit(epsilon))
 
 
 def cosine_literal(
-    vector: str | Column, query: Sequence[float], epsilon: float = 0.0
+    vector: str, query: Sequence[float], epsilon: float = 0.0
 ) -> Column:
-    v = col(vector)
+    """Cosine between an array column and a literal vector.
+
+    Short vectors are unrolled into plain arithmetic, which stays inside
+    whole-stage code generation; long ones use a higher-order function.
+    """
     size = float(sum(float(q) ** 2 for q in query)) ** 0.5
-    return F.try_divide(
-        dot_literal(v, query),
-        norm_unrolled(v, len(query)) * F.lit(size) + F.lit(epsilon))
+    if len(query) > _UNROLL_LIMIT:
+        literal = F.array(*[F.lit(float(q)) for q in query])
+        product, length = dot(F.col(vector), literal), norm(F.col(vector))
+    else:
+        cells = [f"CAST(get({vector}, {i}) AS DOUBLE)" for i in range(len(query))]
+        product = F.expr(" + ".join(
+            f"{c} * {float(q)!r}D" for c, q in zip(cells, query)))
+        length = F.sqrt(F.expr(" + ".join(f"{c} * {c}" for c in cells)))
+    return F.try_divide(product, length * F.lit(size) + F.lit(epsilon))

@@ -82,11 +82,24 @@ def query_variants(query: str) -> list[str]:
 # --- hits -------------------------------------------------------------------
 
 
-def _matches(variants: Sequence[str], columns: Sequence[str]) -> Column:
+_SEPARATOR = "\u0001"
+
+
+def _matches(low: dict[str, Column], variants: Sequence[str]) -> Column:
+    """Any variant in any of the lower-cased columns.
+
+    A variant without wildcards is looked for once in all columns at a time;
+    ``%`` and ``_`` typed by the user stay wildcards within one column.
+    """
     test = F.lit(False)
-    for column in columns:
-        for variant in variants:
-            test = test | F.coalesce(F.col(column).ilike(f"%{variant}%"), F.lit(False))
+    for variant in variants:
+        v = variant.lower()
+        if "%" in v or "_" in v:
+            for name, column in low.items():
+                if name != "*":
+                    test = test | F.coalesce(column.like(f"%{v}%"), F.lit(False))
+        else:
+            test = test | F.contains(low["*"], F.lit(v))
     return test
 
 
@@ -106,8 +119,8 @@ def substring_search(
 ) -> DataFrame:
     """Rows where a variant occurs; longer variants score higher.
 
-    The cheap test on the minimal variants runs first; the score is worked
-    out from the best class downwards, only for rows that passed.
+    The test on the minimal variants runs first; the score is worked out from
+    the best class downwards, only for rows that passed.
     """
     variants = query_variants(query)
     if aircraft is not None:
@@ -116,17 +129,32 @@ def substring_search(
         docs = docs.filter(F.upper("doc_type") == doc_type.upper())
     if ata is not None:
         docs = docs.filter(F.col("ata_chapter").ilike(f"%{ata}%"))
-    score, upper = None, None
-    for at_least, points in fv.VARIANT_SCORES:
-        group = _minimal([
-            v for v in variants
-            if len(v) >= at_least and (upper is None or len(v) < upper)])
-        upper = at_least
-        if group:
-            test = _matches(group, columns)
-            score = F.when(test, points) if score is None else score.when(test, points)
-    found = docs.filter(_matches(_minimal(variants), columns))
-    return found.select("id", score.alias("fts_score"))
+
+    def scored(low: dict[str, Column]) -> Column:
+        score, upper = None, None
+        for at_least, points in fv.VARIANT_SCORES:
+            group = _minimal([
+                v for v in variants
+                if len(v) >= at_least and (upper is None or len(v) < upper)])
+            upper = at_least
+            if group:
+                test = _matches(low, group)
+                score = F.when(test, points) if score is None else score.when(test, points)
+        return F.when(_matches(low, _minimal(variants)), score)
+
+    lowered = F.struct(
+        F.lower(F.concat_ws(_SEPARATOR, *columns)).alias("_all"),
+        *[F.lower(c).alias(c) for c in columns if any(
+            "%" in v or "_" in v for v in variants)])
+
+    def of_row(row: Column) -> Column:
+        names = [c for c in columns if any("%" in v or "_" in v for v in variants)]
+        return scored({"*": row["_all"], **{c: row[c] for c in names}})
+
+    # Inside the lambda the row is lower-cased once, not once per variant.
+    score = F.get(F.transform(F.array(lowered), of_row), F.lit(0))
+    return docs.select("id", score.alias("fts_score")).filter(
+        F.col("fts_score").isNotNull())
 
 
 def union_variant_hits(hits: DataFrame) -> DataFrame:
