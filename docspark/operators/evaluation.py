@@ -147,19 +147,23 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``is_test``: in each class the rows with the smallest hashes.
 
-    The rank inside a class is a running count over hash-prefix blocks, so a
-    class with a third of all rows is spread over many tasks.
+    Ranks are computed on ids and labels alone, as running counts over
+    hash-prefix blocks, so a class with a third of all rows is spread over
+    many tasks. Only one cut-off hash per class is joined back: the rows, and
+    any text they carry, are not shuffled.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
-    hashed = rows.withColumn("_h", digest)
+    narrow = rows.select(label, digest.alias("_h"))
     ranked = running_sums(
-        hashed, ["_h", row_id], F.substring("_h", 1, 3),
+        narrow, ["_h"], F.substring("_h", 1, 3),
         {"_rank": F.lit(1).cast("bigint")}, [label])
-    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    kept = ranked.join(sizes, label).filter(F.col("_n") >= min_rows)
-    return kept.withColumn(
-        "is_test", F.col("_rank") <= F.round(F.col("_n") * test_share)).drop(
-        "_h", "_rank", "_n")
+    sizes = narrow.groupBy(label).agg(F.count("*").alias("_n")).filter(
+        F.col("_n") >= min_rows)
+    wanted = F.round(F.col("_n") * test_share)
+    cutoffs = ranked.join(sizes, label).groupBy(label).agg(
+        F.max(F.when(F.col("_rank") <= wanted, F.col("_h"))).alias("_cut"))
+    return rows.join(cutoffs, label).withColumn(
+        "is_test", F.coalesce(digest <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def leaderboard_row(name: str, rows: DataFrame) -> DataFrame:
