@@ -153,13 +153,16 @@ def c09(t: Tables) -> DataFrame:
         "id", "doc_type", "status", "category", "es_reference", "ocr_text"))
 
 
-@plan("c10_generate_alerts", """
+ALERTS_SQL = """
 SELECT id AS document_id, aircraft_registration, 'OCR faible confiance — ' || filename AS title,
   'Confiance OCR: ' || printf('%.1f', ocr_confidence) || '%. Vérification manuelle recommandée.' AS message, 'warning' AS severity, 'ocr_low_confidence' AS alert_type
 FROM cat_text WHERE ocr_confidence > 0 AND ocr_confidence < 50
 UNION ALL SELECT id, aircraft_registration, 'Document sans immatriculation — ' || filename,
   '''' || filename || ''' n''a pas d''immatriculation reconnue. Placé dans En_Attente/. Vérification manuelle requise.', 'warning', 'ocr_low_confidence'
-FROM cat_text WHERE aircraft_registration IS NULL AND lang <> 'en'""")
+FROM cat_text WHERE aircraft_registration IS NULL AND lang <> 'en'"""
+
+
+@plan("c10_generate_alerts", ALERTS_SQL)
 def c10(t: Tables) -> DataFrame:
     docs = t.documents(
         "id", "aircraft_registration", "filename", "ocr_confidence", "lang")
