@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,17 +37,23 @@ def listed_registration(value: Column) -> Column:
     return F.coalesce(*active, F.array_min(found))
 
 
-def misread_registration(text: str | Column) -> Column:
-    """Registration from text damaged by recognition; patterns in order."""
-    patterns = [("(?i)" + p, g) for p, g in fv.REGISTRATION_DEGRADED] + [
-        ("(?im)" + p, 1) for p in fv.REGISTRATION_PATTERNS]
+def misread_registration(upper: str | Column) -> Column:
+    """Registration from damaged upper-case text; patterns in order.
+
+    Only a pattern that names lower-case letters needs the slower
+    case-insensitive matching.
+    """
+    patterns = [
+        (("(?i)" if re.search(r"(?<!\\)[a-z]", p) else "") + p, g)
+        for p, g in fv.REGISTRATION_DEGRADED
+        + [(p, 1) for p in fv.REGISTRATION_PATTERNS]]
 
     def tries(t: Column) -> list[Column]:
         return [
             lookup(F.right(F.upper(F.regexp_extract(t, p, g)), F.lit(2)), _BY_SUFFIX)
             for p, g in patterns]
 
-    return cascade(text, tries)
+    return cascade(upper, tries)
 
 
 def extract_registration(
@@ -55,10 +63,11 @@ def extract_registration(
 
     Pass ``upper`` when the upper-cased text is already a column.
     """
+    body = F.upper(col(text)) if upper is None else upper
     return F.coalesce(
         listed_registration(F.upper(col(filename))),
-        listed_registration(F.upper(col(text)) if upper is None else upper),
-        misread_registration(text),
+        listed_registration(body),
+        misread_registration(body),
     )
 
 

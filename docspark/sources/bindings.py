@@ -100,6 +100,20 @@ _TEXT_EXTRA = {
 }
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Use all cores for work on texts when the scan has too few tasks.
+
+    A file with a single row group is read by one task, however many cores
+    there are. A large table has more splits than cores and stays as it is.
+    """
+    if frame.isStreaming:
+        return frame
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.select(key).rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, key)
+
+
 class Tables:
     """Lazy catalogue frames over one folder of parquet tables."""
 
@@ -113,6 +127,8 @@ class Tables:
     def documents(self, *columns: str) -> DataFrame:
         wanted = list(columns) or DOCUMENT_COLUMNS
         frame = self.raw("documents")
+        if "text" in wanted:
+            frame = spread(frame, "doc_id")
         if _NEEDS_EVENTS & set(wanted):
             events = self.raw("events").select(
                 F.col("event_id").alias("doc_id"), "ts")
