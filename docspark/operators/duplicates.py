@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark import fixed_values as fv
-from docspark.operators.scale import best_per_key, join_to_groups
+from docspark.operators.scale import join_to_groups
+from docspark.session import stored
 
 
 def with_content_hash(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -21,7 +22,7 @@ def _first_ids(hashed: DataFrame) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose content occurred before, with the first row's id."""
-    hashed = with_content_hash(docs.select("id", text), text).drop(text)
+    hashed = stored(with_content_hash(docs.select("id", text), text).drop(text), "hashes")
     matched = join_to_groups(
         hashed, _first_ids(hashed), ["sha256_hash"], "copies", "id")
     return matched.filter(F.col("id") > F.col("first_id")).select(
@@ -30,7 +31,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def flag_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows without their text, with ``is_duplicate``."""
-    hashed = with_content_hash(docs, text).drop(text)
+    hashed = stored(with_content_hash(docs, text).drop(text), "hashes")
     matched = join_to_groups(
         hashed, _first_ids(hashed.select("id", "sha256_hash")), ["sha256_hash"],
         "copies", "id", how="left")
@@ -69,8 +70,3 @@ def copies_to_delete(files: DataFrame) -> DataFrame:
     return matched.filter(F.col("path") != F.col("keeper")).select(
         "filename", "path", "keeper", (F.col("file_size_kb") / 1024).alias("mb"))
 
-
-__all__ = [
-    "best_copies", "best_per_key", "copies_to_delete", "exact_duplicates",
-    "flag_duplicates", "with_content_hash",
-]

@@ -18,6 +18,7 @@ from docspark.functions.basics import extract
 from docspark.functions.entities import linked_wp_refs, normalise_es, rct_anchor
 from docspark.functions.paths import file_name, strip_long_path_prefix
 from docspark.operators.scale import best_per_key, contains_join, majority_value
+from docspark.session import stored
 
 
 def document_facts(
@@ -151,8 +152,8 @@ def work_order_categories(catalogue: DataFrame) -> DataFrame:
 
 def resolve_linked_wp(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Category of the first linked package found in the catalogue."""
-    refs = linked_references(docs).filter(F.col("number") != "").select(
-        "id", "pos", F.col("reference").alias("linked_ref"), "number")
+    refs = stored(linked_references(docs).filter(F.col("number") != "").select(
+        "id", "pos", F.col("reference").alias("linked_ref"), "number"), "linked")
     pairs = contains_join(
         work_order_categories(catalogue), "reference",
         refs.select("number").distinct(), "number")

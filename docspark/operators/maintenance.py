@@ -17,6 +17,7 @@ from docspark.functions.basics import contains_any
 from docspark.functions.registration import any_msn, registration_from_msn
 from docspark.operators.joins import linked_references, work_order_categories
 from docspark.operators.scale import contains_join, majority_value
+from docspark.session import stored
 
 
 def change_report(
@@ -178,7 +179,7 @@ def linked_wp_repair(docs: DataFrame) -> DataFrame:
     orders = docs.filter(
         (labels.normalise_doc_type("doc_type") == "Work Order")
         & (F.col("status") == "ARCHIVED") & F.col("ocr_text").ilike("%linked%wp%"))
-    refs = linked_references(orders).filter(F.col("number") != "")
+    refs = stored(linked_references(orders).filter(F.col("number") != ""), "linked")
     pairs = contains_join(
         work_order_categories(docs), "reference",
         refs.select("number").distinct(), "number")

@@ -14,6 +14,7 @@ from docspark import fixed_values as fv
 from docspark.functions.basics import cascade, extract, rounded
 from docspark.functions.names import organised_destination
 from docspark.operators.scale import join_to_groups, running_sums
+from docspark.session import stored
 
 PAGES_PER_BLOCK = 4096
 ROWS_PER_BLOCK = 65536
@@ -70,7 +71,7 @@ def segment_pages(pages: DataFrame) -> DataFrame:
     does. The number is a running count of starts, computed over blocks of
     pages so that a huge bundle is spread over many tasks.
     """
-    headers = page_headers(pages)
+    headers = stored(page_headers(pages), "headers")
     counted = running_sums(
         headers, ["page_no"], F.floor(F.col("page_no") / PAGES_PER_BLOCK),
         {"_starts_before": F.col("starts").cast("long")}, ["bundle_id"])

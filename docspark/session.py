@@ -19,6 +19,7 @@ def build_session(
         SparkSession.builder.appName("docspark")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -61,3 +62,15 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write a derived frame to the shared folder once and read it back.
+
+    For narrow results of heavy work (hashes or entities of whole texts) that
+    several branches of a plan use: each branch reads the small table instead
+    of scanning the texts again, and a lost executor costs no recomputation.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
