@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,23 +35,21 @@ def listed_registration(value: Column) -> Column:
     return F.coalesce(*active, F.array_min(found))
 
 
-def misread_registration(upper: str | Column) -> Column:
-    """Registration from damaged upper-case text; patterns in order.
+def misread_registration(text: str | Column) -> Column:
+    """Registration from damaged text; patterns in order.
 
-    Only a pattern that names lower-case letters needs the slower
-    case-insensitive matching.
+    The text keeps its case: upper-casing may lengthen it (ß becomes SS), and
+    some patterns count characters.
     """
-    patterns = [
-        (("(?i)" if re.search(r"(?<!\\)[a-z]", p) else "") + p, g)
-        for p, g in fv.REGISTRATION_DEGRADED
-        + [(p, 1) for p in fv.REGISTRATION_PATTERNS]]
+    patterns = [("(?i)" + p, g) for p, g in fv.REGISTRATION_DEGRADED] + [
+        ("(?im)" + p, 1) for p in fv.REGISTRATION_PATTERNS]
 
     def tries(t: Column) -> list[Column]:
         return [
             lookup(F.right(F.upper(F.regexp_extract(t, p, g)), F.lit(2)), _BY_SUFFIX)
             for p, g in patterns]
 
-    return cascade(upper, tries)
+    return cascade(text, tries)
 
 
 def extract_registration(
@@ -67,7 +63,7 @@ def extract_registration(
     return F.coalesce(
         listed_registration(F.upper(col(filename))),
         listed_registration(body),
-        misread_registration(body),
+        misread_registration(text),
     )
 
 

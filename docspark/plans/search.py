@@ -193,7 +193,7 @@ def r09_text(t: Tables) -> DataFrame:
 
 # Question vector near the stored ones, so that sources exist.
 _NEAR_SQL = """
-qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7),
+qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 5),
 src0 AS (SELECT d.*, list_dot_product(d.embedding::DOUBLE[], q) / (sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS sim
   FROM cat_text d, qv WHERE d.embedding IS NOT NULL AND d.status = 'ARCHIVED'),
 src AS (SELECT *, CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INT) AS rank FROM (SELECT *, RND[sim;6] AS similarity FROM src0)),
@@ -202,7 +202,7 @@ top AS (SELECT * FROM src WHERE rank <= 5 AND similarity > 0.3)"""
 
 def question_vector(t: Tables) -> list[float]:
     """One stored vector, as an embedding model would deliver it."""
-    row = t.raw("embeddings").filter("vec_id = 7").select("embedding").first()
+    row = t.raw("embeddings").filter("vec_id = 5").select("embedding").first()
     return [float(x) for x in row[0]]
 
 
@@ -223,7 +223,7 @@ bl AS (SELECT rank, '[Doc ' || rank || '] ' || filename || chr(10) || 'Avion: '
   || CASE doc_type WHEN 'AD' THEN 'Ad' WHEN 'SB' THEN 'Sb' WHEN 'RCT' THEN 'Rct' ELSE doc_type END || ' | Catégorie: ' || coalesce(category, 'N/A')
   || ' | Référence ES: ' || coalesce(es_reference, 'N/A') || chr(10) || 'Extrait contenu: '
   || coalesce(nullif(regexp_replace(replace(left(ocr_text, 1000), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), ''), 'Texte non disponible') AS b FROM top WHERE rank <= 3)
-SELECT string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM bl""")
+SELECT coalesce(string_agg(b, chr(10) || chr(10) ORDER BY rank), '') AS context FROM bl""")
 def r11(t: Tables) -> DataFrame:
     return search.qa_context(_sources(t))
 
@@ -244,10 +244,10 @@ def r12(t: Tables) -> DataFrame:
 
 
 @plan("r13_extractive_answer", "WITH " + _NEAR_SQL.strip() + """
-SELECT count(*) || ' document(s) pertinent(s) trouvé(s) pour ''check C''. Document principal : ' || arg_min(filename, rank) || ' — Avion '
+SELECT CASE WHEN count(*) = 0 THEN 'Aucun document correspondant n''a été trouvé dans les archives.' ELSE count(*) || ' document(s) pertinent(s) trouvé(s) pour ''check C''. Document principal : ' || arg_min(filename, rank) || ' — Avion '
   || coalesce(arg_min(coalesce(aircraft_registration, 'N/A'), rank), 'N/A') || ', Type : '
   || arg_min(CASE doc_type WHEN 'AD' THEN 'Ad' WHEN 'SB' THEN 'Sb' WHEN 'RCT' THEN 'Rct' ELSE doc_type END, rank)
-  || ', Catégorie : ' || arg_min(coalesce(category, 'N/A'), rank) || ', Référence : ' || arg_min(coalesce(es_reference, 'N/A'), rank) || '.' AS answer,
-  count(*) AS sources, RND[max(similarity);2] AS confidence FROM top""")
+  || ', Catégorie : ' || arg_min(coalesce(category, 'N/A'), rank) || ', Référence : ' || arg_min(coalesce(es_reference, 'N/A'), rank) || '.' END AS answer,
+  count(*) AS sources, coalesce(RND[max(similarity);2], 0) AS confidence FROM top""")
 def r13(t: Tables) -> DataFrame:
     return search.extractive_answer(_sources(t), "check C")
