@@ -41,6 +41,11 @@ def in_given_order(docs: DataFrame, ids: Sequence[int]) -> DataFrame:
         "id", F.array_position(wanted, F.col("id")).alias("rank"), *rest).orderBy("rank")
 
 
+def by_ranking(docs: DataFrame, ranking: DataFrame) -> DataFrame:
+    """The ranked rows with their rank, for rankings too long for a list."""
+    return docs.join(ranking.select("id", "rank"), "id").orderBy("rank", "id")
+
+
 # --- the query --------------------------------------------------------------
 
 

@@ -678,12 +678,13 @@ def x23(t: Tables) -> DataFrame:
 
 
 @plan("x24_rank_order", """
-WITH q AS (SELECT unnest([42, 7, 99, 3]) AS id, unnest(range(1, 5)) AS rank)
-SELECT d.id, q.rank, d.doc_type FROM q JOIN cat_documents d ON d.id = q.id""")
+SELECT d.id, e.user_id AS rank, d.doc_type FROM events e JOIN cat_documents d ON d.id = e.event_id""")
 def x24(t: Tables) -> DataFrame:
-    from docspark.operators.search import in_given_order
+    from docspark.operators.search import by_ranking
 
-    return in_given_order(t.documents("id", "doc_type"), [42, 7, 99, 3])
+    ranking = t.raw("events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("rank"))
+    return by_ranking(t.documents("id", "doc_type"), ranking)
 
 
 @plan("x25_strip_long_path_prefix", "SELECT id, rel_path AS path FROM cat_text")

@@ -237,14 +237,13 @@ class Tables:
         wanted = columns or ("path", "filename", "file_size_kb", "mtime")
         base = self.text(
             "id", "filename", "rel_path", "file_size_kb", "created_at", "lang")
-        main = base.select(
-            F.expr("'ORGANISED/' || split_part(rel_path, '/', 2) || '/' || filename")
-            .alias("path"),
-            "filename", "file_size_kb", F.col("created_at").alias("mtime"))
-        copies = base.filter("lang = 'fr'").select(
-            F.expr("'ORGANISED/Divers/Old/' || filename").alias("path"),
-            "filename", "file_size_kb", F.col("created_at").alias("mtime"))
-        return main.unionByName(copies).select(*wanted)
+        places = F.array_compact(F.array(
+            F.expr("'ORGANISED/' || split_part(rel_path, '/', 2) || '/' || filename"),
+            F.when(F.col("lang") == "fr", F.concat(
+                F.lit("ORGANISED/Divers/Old/"), "filename"))))
+        return base.select(
+            F.explode(places).alias("path"), "filename", "file_size_kb",
+            F.col("created_at").alias("mtime")).select(*wanted)
 
     def wide(self) -> DataFrame:
         """Large fact with the same roles, from orders, customers and parts."""

@@ -160,3 +160,8 @@ def test_spans_do_not_overlap(spark):
     compiled = [
         (lb, re.compile(p, re.I)) for lb, many in fv.SPAN_PATTERNS.items() for p in many]
     assert len(find_spans(body, compiled)) == len(spans)
+
+
+def test_given_order(spark, tables):
+    found = search.in_given_order(tables.documents("id", "doc_type"), [42, 7, 99, 3])
+    assert [(r.id, r.rank) for r in found.collect()] == [(42, 1), (7, 2), (99, 3), (3, 4)]
