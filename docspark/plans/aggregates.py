@@ -6,19 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import labels
-from docspark.functions.entities import with_entities
 from docspark.operators import aggregates as agg
 from docspark.operators.duplicates import flag_duplicates
-from docspark.operators.joins import aircraft_with_counts, document_facts
+from docspark.operators.joins import aircraft_with_counts
 from docspark.plans.registry import plan
 from docspark.sources.bindings import Tables
 
 ENTITY_FIELDS = [
     "aircraft_registration", "es_reference", "ata_chapter", "serial_number",
     "part_number", "item_number", "work_order_number", "sb_ad_reference"]
-CHECKED_FIELDS = [
-    "ata_chapter", "serial_number", "es_reference", "part_number",
-    "sb_ad_reference", "work_order_number", "document_date", "effectivity"]
 
 
 @plan("a01_global_kpis", """
@@ -435,7 +431,6 @@ def a35_documents(t: Tables) -> DataFrame:
         t.documents("id", *ENTITY_FIELDS), ENTITY_FIELDS)
 
 
-_EFFECTIVITY = "(TS-[A-Z]{3}|\\d{3,6}|[A-Z0-9,\\s-]{3,30})"
 _RULE_SQL = {
     "ata_chapter": "\\d{2}(-\\d{2,4})?", "serial_number": "[A-Z0-9\\-]{3,20}",
     "es_reference": "(ES\\d{6,8}|\\d{6,8})", "part_number": "[A-Z0-9\\-]{4,20}",
@@ -453,12 +448,6 @@ def a36(t: Tables) -> DataFrame:
     return agg.validation_report(t.documents(*_RULE_SQL), list(_RULE_SQL))
 
 
-@plan("a36_validation_report_extracted")
-def a36_extracted(t: Tables) -> DataFrame:
-    rows = with_entities(t.text("filename", "ocr_text"))
-    return agg.validation_report(rows, CHECKED_FIELDS)
-
-
 @plan("a37_fleet_msn_report", """
 SELECT a.registration, coalesce(nullif(a.msn, ''), 'MANQUANT') AS msn, count(d.id) AS documents
 FROM cat_aircraft a LEFT JOIN cat_documents d ON d.aircraft_registration = a.registration
@@ -530,5 +519,3 @@ def a41(t: Tables) -> DataFrame:
         "alerts": t.alerts(),
         "quality": agg.quality_bands(docs)})
 
-
-__all__ = ["document_facts"]

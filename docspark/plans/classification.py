@@ -104,18 +104,19 @@ def m05(t: Tables) -> DataFrame:
 
 _PROFILE_CASE = " ".join(
     f"WHEN {_q(k)} THEN {_q(v)}" for k, v in fv.PROFILE_TO_TYPE.items())
-CASCADE_SQL = "WITH " + RULES_SQL.strip() + ",\n" + PROFILE_SQL.strip() + f""",
+CASCADE_CTES = RULES_SQL.strip() + ",\n" + PROFILE_SQL.strip() + f""",
 cs AS (SELECT bo.id, bo.p, {PATH_TYPE_SQL.replace('(p,', '(bo.p,')} AS bypath,
   CASE WHEN regexp_matches(dx.filename, '(?i)^ES\\d{{4,8}}(\\.pdf)?$') THEN 'Work Order' END AS byname,
   bo.label, bo.s, CASE pf.profile {_PROFILE_CASE} END AS prof FROM bo JOIN dx ON dx.id = bo.id JOIN pf ON pf.id = bo.id),
 dc AS (SELECT id, p, prof, coalesce(bypath, byname, label) AS kind, CASE WHEN bypath IS NOT NULL THEN 1.0::DOUBLE WHEN byname IS NOT NULL THEN 0.97::DOUBLE ELSE RND[s;4] END AS confidence,
-  CASE WHEN bypath IS NOT NULL THEN 'path' WHEN byname IS NOT NULL THEN 'filename' ELSE 'rules' END AS method FROM cs)
+  CASE WHEN bypath IS NOT NULL THEN 'path' WHEN byname IS NOT NULL THEN 'filename' ELSE 'rules' END AS method FROM cs)"""
+CASCADE_SELECT = f"""
 SELECT id, CASE WHEN prof <> kind THEN prof ELSE kind END AS predicted_type,
   CASE WHEN prof <> kind THEN prof ELSE {_category_sql('kind', 'p')} END AS predicted_category, confidence,
   CASE WHEN prof <> kind THEN method || '+profile' ELSE method END AS method FROM dc"""
 
 
-@plan("m06_classify_cascade", CASCADE_SQL)
+@plan("m06_classify_cascade", "WITH " + CASCADE_CTES + CASCADE_SELECT)
 def m06(t: Tables) -> DataFrame:
     return rules.classify_cascade(_classifier_rows(t)).select(
         "id", "predicted_type", "predicted_category",

@@ -450,6 +450,17 @@ def x08(t: Tables) -> DataFrame:
     return rows.select("id", *[F.col("e_" + f).alias(f) for f in ent.ENTITY_FIELDS])
 
 
+@plan("a36_validation_report_extracted", "WITH " + ENTITIES_SQL.strip() + " " + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, count(*) FILTER (WHERE {f} <> '' AND regexp_full_match({f}, {_q(r)})) AS valid, "
+    f"count(*) FILTER (WHERE {f} <> '' AND NOT regexp_full_match({f}, {_q(r)})) AS suspect, "
+    f"count(*) FILTER (WHERE coalesce({f}, '') = '') AS empty FROM en" for f, r in fv.FORMAT_RULES.items()))
+def a36_extracted(t: Tables) -> DataFrame:
+    from docspark.operators.aggregates import validation_report
+
+    rows = ent.with_entities(t.text("filename", "ocr_text"))
+    return validation_report(rows, list(fv.FORMAT_RULES))
+
+
 @plan("x09_rct_anchor", f"""
 SELECT id, coalesce({_normal_sql(f"regexp_extract(upper(filename), {_RCT_NAME}, 1)")}, nullif(regexp_extract(upper(filename), {_RCT_NAME}, 1), '')) AS registration,
   'CHECK_' || coalesce(nullif(regexp_extract(upper(filename), {_RCT_NAME}, 2), ''), {_first('upper(ocr_text)', fv.RCT_CHECK_PATTERNS)}) AS check_type,

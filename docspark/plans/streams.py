@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.entities import ENTITY_FIELDS
 from docspark.functions.spans import annotate_spans
 from docspark.functions.sql import register_sql_functions
+from docspark.plans.classification import CASCADE_CTES, CASCADE_SELECT
+from docspark.plans.functions import _ATA_CASE, ENTITIES_SQL
 from docspark.plans.maintenance import ALERTS_SQL, c10
 from docspark.plans.registry import plan
 from docspark.session import scratch_path
@@ -35,7 +38,16 @@ def _drained(t: Tables, stream: DataFrame, name: str, fmt: str = "parquet") -> D
     return t.spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-@plan("t01_watch_archive")
+_WATCH_FIELDS = ", ".join(f"en.{f} AS e_{f}" for f in ENTITY_FIELDS if f != "ata_description")
+
+
+@plan("t01_watch_archive", "WITH " + ENTITIES_SQL.strip() + """,
+tx AS (SELECT t.id, t.filename, t.rel_path, t.ocr_text, en.sb_ad_reference FROM cat_text t JOIN en ON en.id = t.id),
+""" + CASCADE_CTES.replace("AS body FROM cat_text)", "AS body FROM tx)") + ",\nfin AS (" + CASCADE_SELECT.strip() + f""")
+SELECT fin.*, t.filename, t.rel_path, t.ocr_confidence, {_WATCH_FIELDS},
+  CASE regexp_extract(en.ata_chapter, '(\\d{{2}})', 1) {_ATA_CASE} END AS e_ata_description,
+  t.ocr_confidence < 60 OR fin.confidence < 0.5 AS needs_review, fin.predicted_type = 'AD' AND fin.confidence > 0.7 AS is_critical
+FROM fin JOIN cat_text t ON t.id = fin.id JOIN en ON en.id = fin.id""")
 def t01(t: Tables) -> DataFrame:
     docs = _live(t).text("id", "filename", "rel_path", "ocr_text", "ocr_confidence")
     return _drained(t, st.watch_archive(docs), "watch")
