@@ -531,7 +531,20 @@ def x13(t: Tables) -> DataFrame:
         "id", ent.compact_entities_first("ocr_text").alias("e")).select("id", "e.*")
 
 
-@plan("x13_compact_entities_all")
+def _compact_all_sql(field: str) -> str:
+    joined = _q("(?i)" + "|".join(f"(?:{p})" for p in fv.COMPACT_ENTITY_PATTERNS[field]))
+    count = len(fv.COMPACT_ENTITY_PATTERNS[field])
+    value = " || ".join(f"regexp_extract(m, {joined}, {g + 1})" for g in range(count))
+    return (
+        f"LEFT JOIN (SELECT id, string_agg(v, '|' ORDER BY pos) AS {field} FROM (SELECT id, v, min(pos) AS pos FROM ("
+        f"SELECT id, pos, regexp_replace({value}, '^\\s+|\\s+$', '', 'g') AS v FROM (SELECT id, unnest(ms) AS m, unnest(range(len(ms))) AS pos "
+        f"FROM (SELECT id, regexp_extract_all(ocr_text, {joined}) AS ms FROM cat_text))) WHERE v <> '' GROUP BY id, v) GROUP BY id) "
+        f"AS t_{field} ON t_{field}.id = t.id")
+
+
+@plan("x13_compact_entities_all", "SELECT t.id, " + ", ".join(
+    f"coalesce(t_{f}.{f}, '') AS {f}" for f in fv.COMPACT_ENTITY_PATTERNS)
+    + " FROM (SELECT id FROM cat_text) t " + " ".join(map(_compact_all_sql, fv.COMPACT_ENTITY_PATTERNS)))
 def x13_all(t: Tables) -> DataFrame:
     rows = t.text("id", "ocr_text").select(
         "id", ent.compact_entities_all("ocr_text").alias("e"))
