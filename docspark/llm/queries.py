@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm.jaccard_join import jaccard_components
+from docspark.llm.quality_rules import SQL as QUALITY_SQL
+from docspark.llm.quality_rules import quality_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,3 +26,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
 @query
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"), n_words=3, num=90, den=100)
+
+
+@query
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_verdicts(_table(spark, folder, "documents"))
+
+
+ORACLE_SQL["op1_quality_rules"] = QUALITY_SQL
