@@ -128,9 +128,12 @@ WITH w AS (
     regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls
   FROM documents),
-spots AS (SELECT rid, ws, unnest(range(len(ws) - 7)) AS p FROM w WHERE len(ws) >= 8),
+spots AS (
+  SELECT rid, unnest(range(len(ws) - 7)) AS p,
+    unnest(list_transform(range(len(ws) - 7), lambda p: md5(array_to_string(ws[p + 1:p + 8], ' ')))) AS win
+  FROM w WHERE len(ws) >= 8),
 twins AS (
-  SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, md5(array_to_string(ws[p + 1:p + 8], ' '))) AS c FROM spots)
+  SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, win) AS c FROM spots)
   WHERE c >= 2),
 covered AS (
   SELECT rid, sum(least(8, coalesce(after - p, 8))) AS n FROM (

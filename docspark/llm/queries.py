@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.llm.decontaminate import contamination_report
 from docspark.llm.jaccard_join import jaccard_components
 from docspark.llm.quality_rules import SQL as QUALITY_SQL
 from docspark.llm.quality_rules import quality_verdicts
@@ -34,3 +35,9 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE_SQL["op1_quality_rules"] = QUALITY_SQL
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination_report(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark"), window=10)
