@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm.decontaminate import contamination_report
 from docspark.llm.jaccard_join import jaccard_components
+from docspark.llm.line_dedup import SQL as LINES_SQL
+from docspark.llm.line_dedup import line_report
 from docspark.llm.quality_rules import SQL as QUALITY_SQL
 from docspark.llm.quality_rules import quality_verdicts
 
@@ -41,3 +43,11 @@ ORACLE_SQL["op1_quality_rules"] = QUALITY_SQL
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_report(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark"), window=10)
+
+
+@query
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(_table(spark, folder, "documents"))
+
+
+ORACLE_SQL["op8_line_dedup"] = LINES_SQL
