@@ -14,10 +14,11 @@ The space is cut twice, each time by a triangle inequality, so no link is lost.
   step takes the regions' largest components as centres.
 * **Recursion on what is left.** Only members of different components are
   compared further, inside their region, and only those that the triangle
-  inequality admits: counts of shingles in 64 hash cells are distances to 64
+  inequality admits: counts of shingles in 256 hash cells are distances to
   fixed pivot sets in the symmetric-difference metric, and
   `sum |c_i(A) - c_i(B)| <= |A xor B| <= (1 - t) / (1 + t) (|A| + |B|)`
-  must hold for a link. Survivors are verified exactly.
+  must hold for a link. A pair that shares several regions is handled in the
+  first of them only. Survivors are verified exactly.
 
 Equal sets are collapsed to one class before anything is joined.
 """
@@ -39,7 +40,9 @@ from docspark.session import stored
 #: Frequency table of shingle hashes: 2^20 counters in 16 parts. It only
 #: orders shingles, so collisions cost speed and never a link.
 SLOT_BITS, PARTS = 20, 16
-CELLS = 64
+CELLS = 256
+#: Least pivots of a document that its rows carry in the last step.
+CARRIED = 8
 #: Members of a region compared in one task; larger regions are cut in blocks.
 BLOCK = 1024
 #: Bits of the filter that says which documents a verification needs.
@@ -172,12 +175,12 @@ def _pivots(n_words: int, num: int, den: int, order):
 
 def _cells(s: np.ndarray) -> bytes:
     cells = np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    return np.minimum(cells, 65535).astype("<u2").tobytes()
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
 def _matrix(cells: pa.Array | pa.ChunkedArray) -> np.ndarray:
     joined = b"".join(c.as_py() for c in cells)
-    return np.frombuffer(joined, dtype="<u2").astype(np.int32).reshape(-1, CELLS)
+    return np.frombuffer(joined, dtype=np.uint8).astype(np.int16).reshape(-1, CELLS)
 
 
 def _sizes_fit(a, b, num: int, den: int):
@@ -210,7 +213,8 @@ def _cross_pairs(num: int, den: int):
         ids, side, n, root = (
             t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "side", "n", "root"))
         group = _group_numbers(t)
-        cells = _matrix(t.column("cells"))
+        cells, pivot = _matrix(t.column("cells")), t.column("pivot").to_numpy()
+        least = _carried(t.column("least"))
         left, right = [ids[:0]], [ids[:0]]
         at, step = np.arange(len(ids)), 1
         while True:
@@ -224,6 +228,7 @@ def _cross_pairs(num: int, den: int):
             i, j = at[fit], to[fit]
             l1 = np.abs(cells[i] - cells[j]).sum(axis=1)
             near = _cells_fit(l1, n[i], n[j], num, den)
+            near[near] = ~_meets_before(least[i[near]], least[j[near]], pivot[i[near]])
             left.append(np.minimum(ids[i], ids[j])[near])
             right.append(np.maximum(ids[i], ids[j])[near])
             step += 1
@@ -246,6 +251,20 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
+def _carried(lists: pa.ChunkedArray) -> np.ndarray:
+    """The lists as rows of a matrix, filled up with the row's last value."""
+    out = np.empty((len(lists), CARRIED), dtype=np.int64)
+    for row, values in zip(out, lists.to_pylist()):
+        row[:] = (values + values[-1:] * CARRIED)[:CARRIED]
+    return out
+
+
+def _meets_before(a: np.ndarray, b: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """Whether two rows share a carried pivot below this region's."""
+    common = (a[:, :, None] == b[:, None, :]).any(axis=2)
+    return (common & (a < pivot[:, None])).any(axis=1)
+
+
 def _group_numbers(t: pa.Table) -> np.ndarray:
     change = np.zeros(t.num_rows, dtype=np.int64)
     for c in ("pivot", "lo", "hi"):
@@ -383,10 +402,9 @@ def jaccard_components(
             "root", F.coalesce("root", "doc_id"))
         mixed = labelled.groupBy("pivot").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("pivot")
-        open_regions = labelled.join(mixed, "pivot")
+        open_regions = stored(labelled.join(mixed, "pivot"), "open")
         if last:
             break
-        open_regions = stored(open_regions, "open")
         by_root = open_regions.groupBy("pivot", "root").agg(
             F.count("*").alias("k"), F.max(F.struct(F.xxhash64("doc_id", F.lit(1)), "doc_id", "n")).alias("one"))
         largest = by_root.groupBy("pivot").agg(F.max(F.struct("k", "root", "one")).alias("m")).select(
@@ -405,7 +423,10 @@ def jaccard_components(
         F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"),
         "doc_id", "n", "root")
     keys = ["pivot", "lo", "hi"]
-    crossed = spread.join(info.select("doc_id", "cells"), "doc_id").repartition(*keys).sortWithinPartitions(
+    least = open_regions.groupBy("doc_id").agg(
+        F.slice(F.sort_array(F.collect_list("pivot")), 1, CARRIED).alias("least"))
+    carried = info.select("doc_id", "cells").join(least, "doc_id")
+    crossed = spread.join(carried, "doc_id").repartition(*keys).sortWithinPartitions(
         *keys).mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
     rest = _links(docs, crossed, n_words, num, den)
 
