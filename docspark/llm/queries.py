@@ -12,6 +12,8 @@ from docspark.llm.line_dedup import SQL as LINES_SQL
 from docspark.llm.line_dedup import line_report
 from docspark.llm.quality_rules import SQL as QUALITY_SQL
 from docspark.llm.quality_rules import quality_verdicts
+from docspark.llm.source_mix import SQL as MIX_SQL
+from docspark.llm.source_mix import mix_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,3 +53,11 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE_SQL["op8_line_dedup"] = LINES_SQL
+
+
+@query
+def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_report(_table(spark, folder, "documents"))
+
+
+ORACLE_SQL["op6_source_mix"] = MIX_SQL
