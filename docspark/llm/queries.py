@@ -14,6 +14,7 @@ from docspark.llm.quality_rules import SQL as QUALITY_SQL
 from docspark.llm.quality_rules import quality_verdicts
 from docspark.llm.source_mix import SQL as MIX_SQL
 from docspark.llm.source_mix import mix_report
+from docspark.llm.url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,3 +62,8 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE_SQL["op6_source_mix"] = MIX_SQL
+
+
+@query
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_verdicts(_table(spark, folder, "pages"))
