@@ -12,6 +12,7 @@ from docspark.llm.line_dedup import SQL as LINES_SQL
 from docspark.llm.line_dedup import line_report
 from docspark.llm.quality_rules import SQL as QUALITY_SQL
 from docspark.llm.quality_rules import quality_verdicts
+from docspark.llm.secrets import secret_report
 from docspark.llm.source_mix import SQL as MIX_SQL
 from docspark.llm.source_mix import mix_report
 from docspark.llm.url_filter import url_verdicts
@@ -67,3 +68,8 @@ ORACLE_SQL["op6_source_mix"] = MIX_SQL
 @query
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(_table(spark, folder, "pages"))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_report(_table(spark, folder, "documents"))
