@@ -16,6 +16,8 @@ from docspark.llm.secrets import secret_report
 from docspark.llm.source_mix import SQL as MIX_SQL
 from docspark.llm.source_mix import mix_report
 from docspark.llm.url_filter import url_verdicts
+from docspark.llm.warc import SQL as WARC_SQL
+from docspark.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,3 +75,11 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(_table(spark, folder, "documents"))
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_round_trip(_table(spark, folder, "pages"))
+
+
+ORACLE_SQL["op3_warc"] = WARC_SQL
