@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm.decontaminate import contamination_report
+from docspark.llm.html_text import main_text
 from docspark.llm.jaccard_join import jaccard_components
 from docspark.llm.line_dedup import SQL as LINES_SQL
 from docspark.llm.line_dedup import line_report
@@ -83,3 +84,8 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE_SQL["op3_warc"] = WARC_SQL
+
+
+@query
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(_table(spark, folder, "pages"))
