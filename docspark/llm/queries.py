@@ -11,6 +11,7 @@ from docspark.llm.html_text import main_text
 from docspark.llm.jaccard_join import jaccard_components
 from docspark.llm.line_dedup import SQL as LINES_SQL
 from docspark.llm.line_dedup import line_report
+from docspark.llm.quality_classifier import quality_scores
 from docspark.llm.quality_rules import SQL as QUALITY_SQL
 from docspark.llm.quality_rules import quality_verdicts
 from docspark.llm.secrets import secret_report
@@ -89,3 +90,8 @@ ORACLE_SQL["op3_warc"] = WARC_SQL
 @query
 def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(_table(spark, folder, "pages"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
