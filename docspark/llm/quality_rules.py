@@ -81,11 +81,23 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows and null ids are kept as they are.
     """
     rows = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return rows.select("doc_id", *MEASURES, fail_bits().alias("fail_bits"))
+
+
+def fail_bits() -> Column:
+    """All failed rules of a measured row."""
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0)) for r in RULES]
     total = bits[0]
     for bit in bits[1:]:
         total = total.bitwiseOR(bit)
-    return rows.select("doc_id", *MEASURES, total.alias("fail_bits"))
+    return total
+
+
+def passing(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that a policy keeps, unchanged."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = measured(docs.select(row, F.col(text_col).alias("text")))
+    return rows.withColumn("fail_bits", fail_bits()).filter(passes(policy)).select("_row.*")
 
 
 def passes(policy: str = CURRENT) -> Column:
