@@ -1,17 +1,71 @@
-"""Corpus pipeline: quality rules, line dedup, near duplicates, decontamination, mix."""
+"""Corpus pipeline: quality rules, line dedup, near duplicates, decontamination, mix.
+
+Every stage takes the documents its predecessor kept and decides on all of
+them. Stages but the last return the columns of `documents`, in their order;
+`n_chars`, where there is one, follows a changed text. Each stage is written as
+Parquet in the shared folder and read again, so a lost executor never costs
+more than the stage it was lost in.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docspark.llm.decontaminate import decontaminate
+from docspark.llm.jaccard_join import jaccard_components
+from docspark.llm.line_dedup import dedup_lines
+from docspark.llm.quality_rules import passing
+from docspark.llm.source_mix import mix_report
 from docspark.session import scratch_path
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: The mix's flow and the shingle join have no SQL form; tests hold the whole
-#: run against a brute-force version.
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule of the current policy."""
+    return passing(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines stay in the first document that has them. A document all of
+    whose lines stand elsewhere stays as an empty one."""
+    changed = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = changed.withColumn("n_chars", F.when(
+            F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8 or
+    more, the document with the least id stays."""
+    groups = jaccard_components(docs, n_words=5, num=80, den=100)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark spans are cut out; documents mostly made of them go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mix_report(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mix", source_mix),
+]
+
+#: SQL can't express the components of the shingle join and the spans cut out;
+#: tests hold the whole run against a brute-force version.
 ORACLE_SQL = None
 
 
