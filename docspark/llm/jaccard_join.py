@@ -365,9 +365,7 @@ def jaccard_components(
         _classes_and_counts(n_words),
         "doc_id long, n_shingles long, sig1 long, sig2 long, part int, task long, counts binary"), "classes")
     rows = scanned.filter("counts IS NULL").select("doc_id", "n_shingles", "sig1", "sig2")
-    counts = _slot_counts(scanned)
-    rank = (counts // (int(counts.mean()) + 1)).astype(np.int32)
-    order = spark.sparkContext.broadcast(rank)
+    order = spark.sparkContext.broadcast(_slot_counts(scanned).astype(np.int32))
 
     classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(
         "n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
@@ -382,7 +380,12 @@ def jaccard_components(
 
     placed = members.select("doc_id", "n", F.explode("pivots").alias("pivot"))
     centre = F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "n")).alias("centre")
-    shared = placed.groupBy("pivot").agg(centre, F.count("*").alias("held")).filter("held > 1")
+    # Regions with the same members say the same; one of them is enough. Near
+    # copies share nearly all their pivots, so this leaves few regions each.
+    members_of = [F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"x{s}") for s in (3, 4)]
+    shared = placed.groupBy("pivot").agg(centre, F.count("*").alias("held"), *members_of).filter("held > 1")
+    shared = shared.groupBy("held", "x3", "x4").agg(
+        F.min("pivot").alias("pivot"), F.first("centre").alias("centre")).drop("x3", "x4")
     regions = stored(placed.join(shared, "pivot").select(
         "pivot", "doc_id", "n", "held", F.col("centre.doc_id").alias("centre"),
         F.col("centre.n").alias("n_centre")), "regions")
