@@ -31,7 +31,8 @@ def cosine(a: str | Column, b: str | Column, epsilon: float = 1e-8) -> Column:
 def cosine_literal(
     vector: str, query: Sequence[float], epsilon: float = 0.0
 ) -> Column:
-    """Cosine between an array column and a literal vector.
+    """Cosine between an array column and a literal vector; null for a
+    vector of another length.
 
     Short vectors are unrolled into plain arithmetic, which stays inside
     whole-stage code generation; long ones use a higher-order function.
@@ -45,4 +46,5 @@ def cosine_literal(
         product = F.expr(" + ".join(
             f"{c} * {float(q)!r}D" for c, q in zip(cells, query)))
         length = F.sqrt(F.expr(" + ".join(f"{c} * {c}" for c in cells)))
-    return F.try_divide(product, length * F.lit(size) + F.lit(epsilon))
+    value = F.try_divide(product, length * F.lit(size) + F.lit(epsilon))
+    return F.when(F.size(F.col(vector)) == len(query), value)

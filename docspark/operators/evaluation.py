@@ -83,8 +83,8 @@ def classification_metrics(rows: DataFrame, unknown: str = "Unknown") -> DataFra
 def confusion_matrix(rows: DataFrame) -> DataFrame:
     """Counts and row-normalised percentages in long form."""
     pairs = pair_counts(rows)
-    totals = pairs.groupBy("y_true").agg(F.sum("n").alias("t"))
-    return pairs.join(totals, "y_true").select(
+    totals = pairs.groupBy(F.col("y_true").alias("_of")).agg(F.sum("n").alias("t"))
+    return pairs.join(totals, F.col("y_true").eqNullSafe(F.col("_of"))).select(
         "y_true", "y_pred", "n",
         rounded(ratio(F.col("n"), F.col("t")) * 100, 1).alias("row_pct"))
 
@@ -149,8 +149,8 @@ def stratified_split(
 
     Ranks are computed on ids and labels alone, as running counts over
     hash-prefix blocks, so a class with a third of all rows is spread over
-    many tasks. Only one cut-off hash per class is joined back: the rows, and
-    any text they carry, are not shuffled.
+    many tasks. Only one cut-off hash per class is joined back. A null label
+    is a class of its own.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
     narrow = rows.select(label, digest.alias("_h"))
@@ -160,10 +160,12 @@ def stratified_split(
     sizes = narrow.groupBy(label).agg(F.count("*").alias("_n")).filter(
         F.col("_n") >= min_rows)
     wanted = F.round(F.col("_n") * test_share)
-    cutoffs = ranked.join(sizes, label).groupBy(label).agg(
+    sizes = sizes.withColumnRenamed(label, "_of")
+    same = F.col(label).eqNullSafe(F.col("_of"))
+    cutoffs = ranked.join(sizes, same).groupBy("_of").agg(
         F.max(F.when(F.col("_rank") <= wanted, F.col("_h"))).alias("_cut"))
-    return rows.join(cutoffs, label).withColumn(
-        "is_test", F.coalesce(digest <= F.col("_cut"), F.lit(False))).drop("_cut")
+    return rows.join(cutoffs, same).withColumn(
+        "is_test", F.coalesce(digest <= F.col("_cut"), F.lit(False))).drop("_cut", "_of")
 
 
 def leaderboard_row(name: str, rows: DataFrame) -> DataFrame:

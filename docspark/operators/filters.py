@@ -19,8 +19,10 @@ def list_documents(
     ata: str | None = None, es_reference: str | None = None,
     doc_type: str | None = None, status: str | None = None,
     critical: bool | None = None, needs_review: bool | None = None,
+    sort: str | None = None, descending: bool = True,
 ) -> DataFrame:
-    """Every given condition must hold; absent ones do not restrict."""
+    """Every given condition must hold; absent ones do not restrict. With
+    ``sort`` the rows come in that column's order, ties by id, nulls last."""
     tests = []
     for column, value in (
         ("aircraft_registration", aircraft), ("category", category),
@@ -34,7 +36,10 @@ def list_documents(
             tests.append(F.col(column) == value)
     for test in tests:
         docs = docs.filter(test)
-    return docs
+    if sort is None:
+        return docs
+    order = F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort)
+    return docs.orderBy(order, F.desc("id") if descending else F.asc("id"))
 
 
 def documents_of_aircraft(

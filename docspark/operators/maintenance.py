@@ -28,13 +28,24 @@ def change_report(
         new.cast("string").alias("new"), rule.alias("rule"))
 
 
+def _last(value: str, sequence: str | None) -> Column:
+    """The value given last; without a sequence the greatest one."""
+    if sequence is None:
+        return F.max(value)
+    given = F.struct(F.col(sequence).alias("s"), F.col(value).alias("v"))
+    return F.max(F.when(F.col(value).isNotNull(), given))["v"]
+
+
 def apply_patches(
-    docs: DataFrame, patches: DataFrame, fields: Sequence[str]
+    docs: DataFrame, patches: DataFrame, fields: Sequence[str],
+    sequence: str | None = None,
 ) -> DataFrame:
     """Partial updates by id: only given (non-null) fields change, and a
-    patched row counts as manually corrected."""
-    marked = patches.select("id", *[
-        F.col(f).alias(f"_p_{f}") for f in fields], F.lit(True).alias("_patched"))
+    patched row counts as manually corrected. Of several patches of a field
+    the last in ``sequence`` counts, without one the greatest value."""
+    marked = patches.groupBy("id").agg(
+        *[_last(f, sequence).alias(f"_p_{f}") for f in fields],
+        F.lit(True).alias("_patched"))
     joined = docs.join(marked, "id", "left")
     changed = {f: F.coalesce(f"_p_{f}", f) for f in fields}
     changed["manually_corrected"] = F.coalesce("_patched", "manually_corrected")
@@ -245,12 +256,16 @@ def purge_report(
     return report
 
 
-def patch_aircraft(aircraft: DataFrame, patches: DataFrame) -> DataFrame:
+def patch_aircraft(
+    aircraft: DataFrame, patches: DataFrame, sequence: str | None = None
+) -> DataFrame:
     """Whitelisted fields only; '' clears a field, a bad date becomes null.
 
-    ``patches`` has one row per (id, field, value).
+    ``patches`` has rows (id, field, value); of several for one field the
+    last in ``sequence`` counts, without one the greatest value.
     """
-    allowed = patches.filter(F.col("field").isin(fv.PATCHABLE_AIRCRAFT_FIELDS))
+    allowed = patches.filter(F.col("field").isin(fv.PATCHABLE_AIRCRAFT_FIELDS)).groupBy(
+        "id", "field").agg(_last("value", sequence).alias("value"))
     per_row = allowed.groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_p"))
     joined = aircraft.join(per_row, "id", "left")

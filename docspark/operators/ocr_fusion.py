@@ -9,7 +9,6 @@ from docspark import fixed_values as fv
 from docspark.functions.basics import exact_mean, exact_sum, ratio, rounded
 from docspark.operators.scale import majority_value
 
-PAGES_PER_PART = 500
 
 
 def best_attempt_per_engine(attempts: DataFrame) -> DataFrame:
@@ -75,18 +74,22 @@ def document_ocr_rollup(pages: DataFrame) -> DataFrame:
 
 
 def document_text(
-    pages: DataFrame, pages_per_part: int = PAGES_PER_PART, separator: str = "\n\n"
+    pages: DataFrame, pages_per_part: int | None = None, separator: str = "\n\n"
 ) -> DataFrame:
-    """Joined page text, in parts of a bounded number of pages.
+    """Joined page text, one row per document.
 
-    Most documents have a single part; a bundle with millions of pages
-    becomes many rows instead of one string in one task.
+    With ``pages_per_part`` a document comes in parts of so many page numbers
+    instead, for bundles whose text is too long for one row.
     """
-    part = F.floor(F.col("page_no") / pages_per_part).cast("int")
+    if pages_per_part is None:
+        part = F.lit(0)
+    else:
+        part = F.floor(F.col("page_no") / pages_per_part).cast("int")
     rows = pages.filter(F.trim("text") != "").groupBy(
         "document_id", part.alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    return rows.select("document_id", "part", F.array_join(
+    kept = ["document_id"] if pages_per_part is None else ["document_id", "part"]
+    return rows.select(*kept, F.array_join(
         F.transform("p", lambda x: x["text"]), separator).alias("text"))
 
 

@@ -7,7 +7,8 @@
   hot keys has a proven bound and may be broadcast.
 * ``running_sums`` computes prefix sums over blocks of the order key, so no
   task ever sorts a whole partition key.
-* ``substrings_of`` turns a "contains" join into an equi join.
+* ``in_ranges`` cuts rows into ranges of their own order.
+* ``contains_join`` turns a "contains" join into an equi join.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.session import stored
+
 HOT_SHARE = 256
 SALTS = 32
 
@@ -50,15 +53,19 @@ def join_to_groups(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str,
     spread_by: str, how: str = "inner",
 ) -> DataFrame:
-    """Join rows to one-row-per-key groups; hot keys are salted.
+    """Join rows to one-row-per-key groups; hot keys are salted. A null key
+    is a key like any other.
 
     ``size`` is the group's row count. Only groups above ``1 / HOT_SHARE`` of
     all rows are replicated, and there are at most ``HOT_SHARE`` of them.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).scalar()
     hot = F.col(size) * HOT_SHARE > total
-    hot_keys = groups.filter(hot).select(*keys, F.lit(True).alias("_hot"))
-    left = rows.join(F.broadcast(hot_keys), list(keys), "left").withColumn(
+    named = {k: f"_k{i}" for i, k in enumerate(keys)}
+    hot_keys = groups.filter(hot).select(
+        *[F.col(k).alias(n) for k, n in named.items()], F.lit(True).alias("_hot"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
+    left = rows.join(F.broadcast(hot_keys), same, "left").drop(*named.values()).withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
         .otherwise(0).cast("int")).drop("_hot")
@@ -66,7 +73,17 @@ def join_to_groups(
         "_salt",
         F.explode(F.sequence(
             F.lit(0), F.when(hot, F.lit(SALTS - 1)).otherwise(F.lit(0)))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    right = right.withColumnsRenamed({**named, "_salt": "_salt_of"})
+    return left.join(right, [*same, F.col("_salt") == F.col("_salt_of")], how).drop(
+        "_salt", "_salt_of", *named.values())
+
+
+def in_ranges(frame: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """``frame`` with ``_range``, the number of the range of ``order`` a row
+    lies in. Ranges hold about as many rows each, whatever the values, and
+    follow each other in order; they are written once, so they stay fixed."""
+    return stored(frame.repartitionByRange(*order).withColumn(
+        "_range", F.spark_partition_id()), name)
 
 
 def running_sums(
@@ -77,6 +94,7 @@ def running_sums(
 
     ``block`` must grow with the order and hold a bounded number of rows;
     sorting happens per block, and only block totals are summed in sequence.
+    Null blocks and null partition values are groups like any other.
     """
     parts = list(partition)
     marked = frame.withColumn("_block", block)
@@ -94,7 +112,9 @@ def running_sums(
     local = marked
     for name in sums:
         local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(inside))
-    joined = local.join(offsets, [*parts, "_block"])
+    keys = [*parts, "_block"]
+    offsets = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    joined = local.join(offsets, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
     return joined.select(*frame.columns, *[
         (F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 

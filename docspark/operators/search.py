@@ -347,9 +347,8 @@ def passage_context(
         text("ata_chapter"), F.lit("\n    ES Ref: "), text("es_reference"),
         F.lit("\n    Extrait: "), F.left(null_to_blank("ocr_text"), F.lit(excerpt)),
         F.lit("\n"))
-    frame = "[1] \n    Type:  | Avion:  | Catégorie:  | ATA: \n    ES Ref: \n    Extrait: \n"
     kept = context_budget(
-        passages.withColumn("block", block), F.length("block"), max_chars, len(frame))
+        passages.withColumn("block", block), [F.col("rank")], F.length("block"), max_chars)
     return kept.agg(
         F.count("*").alias("passages"),
         F.array_join(F.transform(

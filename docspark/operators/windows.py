@@ -7,17 +7,18 @@ blocks of the order key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark import fixed_values as fv
 from docspark.functions.basics import cascade, extract, rounded
 from docspark.functions.names import organised_destination
-from docspark.operators.scale import join_to_groups, running_sums
+from docspark.operators.scale import in_ranges, join_to_groups, running_sums
 from docspark.session import stored
 
 PAGES_PER_BLOCK = 4096
-ROWS_PER_BLOCK = 65536
 
 
 def first_non_null_by_priority(
@@ -149,8 +150,8 @@ def latest_per_key(files: DataFrame, key: str = "filename") -> DataFrame:
 def running_statistics(log: DataFrame) -> DataFrame:
     """Processed, errors and mean duration after every row, in id order."""
     totals = running_sums(
-        log.select("id", "status", "duration_s"), ["id"],
-        F.floor(F.col("id") / ROWS_PER_BLOCK),
+        in_ranges(log.select("id", "status", "duration_s"), ["id"], "log-ranges"),
+        ["id"], F.col("_range"),
         {"processed": F.lit(1).cast("long"),
          "errors": (F.col("status") == "error").cast("long"),
          "_seconds": F.col("duration_s").cast("decimal(18,6)")})
@@ -161,15 +162,27 @@ def running_statistics(log: DataFrame) -> DataFrame:
 
 
 def context_budget(
-    ranked: DataFrame, length: Column, max_chars: int, shortest: int
+    passages: DataFrame, order: Sequence[Column], length: Column, max_chars: int
 ) -> DataFrame:
-    """Passages in rank order while their total length fits.
+    """Passages in ``order``, ranked from 1, while their total length fits.
 
-    Every passage has at least ``shortest`` characters, so no more than
-    ``max_chars / shortest`` can fit; only those ever reach the window.
+    Lengths are summed per range of the order; only ranges that begin within
+    the budget are sorted, however short or many their passages are.
     """
-    reachable = max_chars // shortest + 1
-    rows = ranked.orderBy("rank").limit(reachable).withColumn("_len", length)
-    order = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_used", F.sum("_len").over(order)).filter(
-        F.col("_used") <= max_chars).drop("_len", "_used")
+    rows = in_ranges(
+        passages.withColumn("_len", F.coalesce(length, F.lit(0))), order, "passages")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = rows.groupBy("_range").agg(
+        F.sum("_len").alias("_l"), F.count("*").alias("_n")).select(
+        F.col("_range").alias("_of"),
+        F.coalesce(F.sum("_l").over(earlier), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    near = rows.join(
+        begins.filter(F.col("_before") <= max_chars), F.col("_range") == F.col("_of"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    used = F.col("_before") + F.sum("_len").over(
+        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return near.withColumn("_used", used).withColumn(
+        "rank", F.col("_first") + F.row_number().over(inside)).filter(
+        F.col("_used") <= max_chars).drop(
+        "_len", "_range", "_of", "_before", "_first", "_used")

@@ -179,18 +179,17 @@ def _scored(predictions: DataFrame) -> DataFrame:
 
 @plan("m08_train_text_classifier")
 def m08(t: Tables) -> DataFrame:
-    return ev.classification_metrics(_scored(_evaluated(t, iterations=10)))
+    return ev.classification_metrics(_scored(_evaluated(t)))
 
 
 @plan("m09_train_linear_svc")
 def m09(t: Tables) -> DataFrame:
-    return ev.classification_metrics(
-        _scored(_evaluated(t, linear_svc=True, iterations=5, ngrams=1)))
+    return ev.classification_metrics(_scored(_evaluated(t, linear_svc=True)))
 
 
 @plan("m10_train_entity_augmented")
 def m10(t: Tables) -> DataFrame:
-    found = _evaluated(t, with_entities=True, iterations=10)
+    found = _evaluated(t, with_entities=True)
     return training.override_by_filename(found).groupBy("method", "predicted").agg(
         F.count("*").alias("documents"))
 
@@ -198,14 +197,13 @@ def m10(t: Tables) -> DataFrame:
 @plan("m12_reclassify_other")
 def m12(t: Tables) -> DataFrame:
     docs = t.text("id", "doc_type", "ocr_text")
-    model = training.train_text_classifier(
-        training_rows(docs), iterations=10, ngrams=1)
+    model = training.train_text_classifier(training_rows(docs))
     return training.reclassify_other(model, docs, min_confidence=0.70)
 
 
 @plan("m18_compare_models")
 def m18(t: Tables) -> DataFrame:
-    model = _evaluated(t, iterations=10, ngrams=1)
+    model = _evaluated(t)
     keywords = rules.with_keyword_class(model.drop("predicted", "probability"))
     return ev.compare_models({
         "keywords": keywords.select(
@@ -349,8 +347,8 @@ def m21(t: Tables) -> DataFrame:
 
 
 @plan("m21_document_text", "WITH " + _FUSE_SQL.strip() + """
-SELECT document_id, CAST(page_no // 500 AS INT) AS part, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS text
-FROM fu WHERE trim(text) <> '' GROUP BY 1, 2""")
+SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS text
+FROM fu WHERE trim(text) <> '' GROUP BY 1""")
 def m21_text(t: Tables) -> DataFrame:
     return fuse.document_text(_fused(t))
 

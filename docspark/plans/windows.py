@@ -147,16 +147,14 @@ def w09(t: Tables) -> DataFrame:
 
 
 @plan("w10_context_budget", """
-WITH p AS (SELECT id, n_chars, row_number() OVER (ORDER BY ocr_confidence DESC, id) AS rank FROM cat_documents WHERE n_chars >= 20),
+WITH p AS (SELECT id, n_chars, row_number() OVER (ORDER BY ocr_confidence DESC, id) AS rank FROM cat_documents),
 u AS (SELECT *, sum(n_chars) OVER (ORDER BY rank) AS used FROM p)
 SELECT rank, id, n_chars FROM u WHERE used <= 20000""")
 def w10(t: Tables) -> DataFrame:
-    rows = t.documents("id", "n_chars", "ocr_confidence").filter("n_chars >= 20")
-    from docspark.operators.search import ranked
-
-    best = ranked(rows, [F.desc("ocr_confidence"), F.asc("id")], 20000 // 20 + 1)
-    return win.context_budget(best, F.col("n_chars"), 20000, 20).select(
-        "rank", "id", "n_chars")
+    rows = t.documents("id", "n_chars", "ocr_confidence")
+    return win.context_budget(
+        rows, [F.desc("ocr_confidence"), F.asc("id")], F.col("n_chars"), 20000,
+    ).select("rank", "id", "n_chars")
 
 
 @plan("w11_last_n_periods", """

@@ -25,10 +25,14 @@ def file_stream(
     spark: SparkSession, folder: str, pattern: str, schema,
     max_files: int = 1000,
 ) -> DataFrame:
-    """New parquet files of a folder, a bounded number per micro-batch."""
+    """New parquet files of a table, a bounded number per micro-batch.
+
+    The table may be one file or a folder of part files; a path with a
+    pattern in it matches either.
+    """
+    path = f"{folder}/{pattern[:-1]}[{pattern[-1]}]"
     return spark.readStream.schema(schema).option(
-        "maxFilesPerTrigger", str(max_files)).option(
-        "pathGlobFilter", pattern).parquet(folder)
+        "maxFilesPerTrigger", str(max_files)).parquet(path)
 
 
 def drain(
