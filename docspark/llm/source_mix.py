@@ -15,14 +15,16 @@ taken in part, so quotas are met to the word and every run takes the same.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.llm.bytewords import NOT_SPACE, chunks
 from docspark.llm.components import components
-from docspark.llm.native_text import words
 from docspark.session import stored
 
 #: Cost of the n-th copy of a document.
@@ -86,6 +88,16 @@ def flow(
             v = u
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of words, counted on the bytes of whole texts."""
+    for batch in batches:
+        counts = [np.diff(w.bounds) for w in chunks(batch.column("text"), NOT_SPACE)]
+        size = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("sources"), pa.array(size, pa.int64())],
+            names=["doc_id", "sources", "size"])
+
+
 def ranked(values: DataFrame, column: str) -> DataFrame:
     """Distinct values with their 0-based rank in code point order, null last.
 
@@ -155,9 +167,9 @@ def mix(
     `source_size` and `target` are those of the first.
     """
     member = F.array("source") if sources is None else sources
-    rows = stored(docs.select(
-        F.col("doc_id"), F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.array_sort(F.array_distinct(member)).alias("sources")), "sizes")
+    named = docs.select("doc_id", F.array_sort(F.array_distinct(member)).alias("sources"), F.col("text").cast("string").alias("text"))
+    kinds = [f"{c} {named.schema[c].dataType.simpleString()}" for c in ("doc_id", "sources")]
+    rows = stored(named.mapInArrow(_sizes, ", ".join([*kinds, "size long"])), "sizes")
     held = rows.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(
         F.sum("size").alias("source_size"))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
