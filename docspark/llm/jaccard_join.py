@@ -382,10 +382,11 @@ def jaccard_components(
     centre = F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "n")).alias("centre")
     # Regions with the same members say the same; one of them is enough. Near
     # copies share nearly all their pivots, so this leaves few regions each.
-    members_of = [F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"x{s}") for s in (3, 4)]
+    # Members are told by three sums of 31-bit hashes, which also see an id twice.
+    members_of = [F.sum(F.xxhash64("doc_id", F.lit(s)).bitwiseAND(F.lit(0x7FFFFFFF))).alias(f"x{s}") for s in (3, 4, 5)]
     shared = placed.groupBy("pivot").agg(centre, F.count("*").alias("held"), *members_of).filter("held > 1")
-    shared = shared.groupBy("held", "x3", "x4").agg(
-        F.min("pivot").alias("pivot"), F.first("centre").alias("centre")).drop("x3", "x4")
+    shared = shared.groupBy("held", "x3", "x4", "x5").agg(
+        F.min("pivot").alias("pivot"), F.first("centre").alias("centre")).drop("x3", "x4", "x5")
     regions = stored(placed.join(shared, "pivot").select(
         "pivot", "doc_id", "n", "held", F.col("centre.doc_id").alias("centre"),
         F.col("centre.n").alias("n_centre")), "regions")
