@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,7 +113,9 @@ def name_from_path(path: str | Column) -> Column:
         .otherwise(F.translate(joined, '<>:"/|?*', "________")))
 
 
-def wanted_file(path: str | Column) -> Column:
+def wanted_file(
+    path: str | Column, extensions: Sequence[str] | None = None
+) -> Column:
     """Inventory filter on a relative path: known suffix, no hidden, macOS or
     software folder, no temporary Office or resource-fork file."""
     parts = path_parts(path)
@@ -123,7 +127,7 @@ def wanted_file(path: str | Column) -> Column:
         | F.lower(p).isin(fv.EXCLUDED_DIRECTORIES))
     suffix = F.regexp_replace(F.lower(file_suffix(name)), r"^\.", "")
     return (
-        suffix.isin(fv.INVENTORY_EXTENSIONS) & ~bad
+        suffix.isin(list(extensions or fv.INVENTORY_EXTENSIONS)) & ~bad
         & ~name.startswith("~$") & ~name.startswith("._"))
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark import fixed_values as fv
 from docspark.functions.spans import annotate_spans
 from docspark.operators import evaluation as ev
 from docspark.plans.classification import _CLASS_SQL
@@ -15,9 +16,25 @@ from docspark.sources import catalogue, files
 from docspark.sources.bindings import Tables
 
 
-@plan("s01_archive_inventory")
+# Paths as a walk would list them: some hidden, foreign, temporary or shouting.
+_LISTED = """CASE id % 9 WHEN 0 THEN '.trash/' || rel_path WHEN 1 THEN 'Program Files/' || rel_path
+  WHEN 2 THEN '__MACOSX/' || rel_path WHEN 3 THEN 'Old/~$' || filename WHEN 4 THEN rel_path || '.tmp'
+  WHEN 5 THEN upper(rel_path) ELSE rel_path END"""
+
+
+@plan("s01_archive_inventory", f"""
+WITH l AS (SELECT {_LISTED} AS rel_path, file_size_kb FROM cat_text),
+n AS (SELECT *, string_split(rel_path, '/')[-1] AS filename FROM l)
+SELECT rel_path, filename, lower(regexp_extract(filename, '[.]([^.]+)$', 1)) AS extension, file_size_kb FROM n
+WHERE lower(regexp_extract(filename, '[.]([^.]+)$', 1)) IN ({', '.join(repr(e) for e in fv.INVENTORY_EXTENSIONS)})
+  AND len(list_filter(string_split(rel_path, '/')[1:-2], lambda p: starts_with(p, '.') OR p = '__MACOSX'
+    OR lower(p) IN ({', '.join(repr(e) for e in fv.EXCLUDED_DIRECTORIES)}))) = 0
+  AND NOT starts_with(filename, '~$') AND NOT starts_with(filename, '._')""")
 def s01(t: Tables) -> DataFrame:
-    return files.archive_inventory(t.spark, t.folder, ["parquet"]).drop("mtime")
+    listed = t.text("id", "rel_path", "filename", "file_size_kb").select(
+        F.expr(_LISTED).alias("rel_path"), "file_size_kb")
+    return files.wanted_files(listed).select(
+        "rel_path", "filename", "extension", "file_size_kb")
 
 
 @plan("s02_read_catalogue", """

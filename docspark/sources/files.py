@@ -7,36 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark import fixed_values as fv
-from docspark.functions.basics import file_suffix, null_to_blank, path_parts
-from docspark.functions.paths import file_name, strip_long_path_prefix
+from docspark.functions.basics import file_suffix, null_to_blank
+from docspark.functions.paths import file_name, strip_long_path_prefix, wanted_file
 
 ARCHIVE_LAYOUT = ["area", "aircraft", "folder", "kind"]
 
 
+def wanted_files(listed: DataFrame, extensions: Sequence[str] | None = None) -> DataFrame:
+    """The wanted rows of a listing with ``rel_path``; adds name and extension."""
+    return listed.filter(wanted_file("rel_path", extensions)).withColumns({
+        "filename": file_name("rel_path"),
+        "extension": F.regexp_replace(F.lower(file_suffix(file_name("rel_path"))), r"^\.", "")})
+
+
 def archive_inventory(
-    spark: SparkSession, root: str, extensions: Sequence[str] = fv.INVENTORY_EXTENSIONS
+    spark: SparkSession, root: str, extensions: Sequence[str] | None = None
 ) -> DataFrame:
     """Wanted files below ``root`` with path, size and time. The content
     column is never selected, so no file is read."""
     listed = spark.read.format("binaryFile").option(
         "recursiveFileLookup", "true").load(root).select(
-        "path", "length", "modificationTime")
-    rel = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
-    parts = path_parts(rel)
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    name = file_name(rel)
-    unwanted = F.exists(
-        folders,
-        lambda p: p.startswith(".") | (p == "__MACOSX")
-        | F.lower(p).isin(fv.EXCLUDED_DIRECTORIES))
-    suffix = F.regexp_replace(F.lower(file_suffix(name)), r"^\.", "")
-    return listed.filter(
-        suffix.isin(list(extensions)) & ~unwanted & ~name.startswith("~$")
-        & ~name.startswith("._")).select(
-        rel.alias("rel_path"), name.alias("filename"), suffix.alias("extension"),
+        F.substring_index(F.col("path"), root.rstrip("/") + "/", -1).alias("rel_path"),
         (F.col("length") / 1024).alias("file_size_kb"),
         F.col("modificationTime").alias("mtime"))
+    return wanted_files(listed, extensions).select(
+        "rel_path", "filename", "extension", "file_size_kb", "mtime")
 
 
 def read_path_list(spark: SparkSession, path: str) -> DataFrame:

@@ -94,3 +94,13 @@ def test_stream_reads_part_files(spark, tmp_path):
     again = st.file_stream(spark, str(tmp_path), "events.parquet", rows.schema, max_files=1)
     st.drain(st.in_flight_dedup(again, "path", "at", "1 hour"), str(tmp_path / "once"), str(tmp_path / "state2"))
     assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "once")).collect()) == sorted(str(i) for i in range(30))
+
+
+def test_inventory_of_a_folder(spark, tmp_path):
+    from docspark.sources.files import archive_inventory
+
+    for name in ("a.pdf", "b/C.DOCX", ".git/d.pdf", "lib/e.pdf", "~$f.doc", "._g.doc", "h.exe"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x" * 512)
+    got = {(r.rel_path, r.filename, r.extension, r.file_size_kb) for r in archive_inventory(spark, str(tmp_path)).collect()}
+    assert got == {("a.pdf", "a.pdf", "pdf", 0.5), ("b/C.DOCX", "C.DOCX", "docx", 0.5)}
