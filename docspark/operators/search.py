@@ -19,6 +19,7 @@ from docspark.functions.entities import with_entities
 from docspark.functions.text import search_tokens, snippet
 from docspark.functions.vectors import cosine_literal
 from docspark.operators.windows import context_budget
+from docspark.session import stored
 
 SEARCH_COLUMNS = [
     "filename", "ocr_text", "es_reference", "sb_ad_reference",
@@ -120,6 +121,7 @@ def _minimal(variants: Sequence[str]) -> list[str]:
 def substring_search(
     docs: DataFrame, query: str, *, aircraft: str | None = None,
     doc_type: str | None = None, ata: str | None = None,
+    category: str | None = None, es_reference: str | None = None,
     columns: Sequence[str] = SEARCH_COLUMNS,
 ) -> DataFrame:
     """Rows where a variant occurs; longer variants score higher.
@@ -128,12 +130,13 @@ def substring_search(
     the best class downwards, only for rows that passed.
     """
     variants = query_variants(query)
-    if aircraft is not None:
-        docs = docs.filter(F.col("aircraft_registration").ilike(f"%{aircraft}%"))
+    for column, part in (
+        ("aircraft_registration", aircraft), ("ata_chapter", ata),
+        ("category", category), ("es_reference", es_reference)):
+        if part is not None:
+            docs = docs.filter(F.col(column).ilike(f"%{part}%"))
     if doc_type is not None:
         docs = docs.filter(F.upper("doc_type") == doc_type.upper())
-    if ata is not None:
-        docs = docs.filter(F.col("ata_chapter").ilike(f"%{ata}%"))
 
     def scored(low: dict[str, Column]) -> Column:
         score, upper = None, None
@@ -181,7 +184,8 @@ def vector_search(
 def hybrid_search(
     docs: DataFrame, query: str, vector: Sequence[float] | None, *,
     limit: int = 20, doc_type: str | None = None, aircraft: str | None = None,
-    ata: str | None = None,
+    ata: str | None = None, category: str | None = None,
+    es_reference: str | None = None,
 ) -> DataFrame:
     """All hits with their score, matched entities and snippet.
 
@@ -189,7 +193,8 @@ def hybrid_search(
     only matching rows are joined and only they carry text.
     """
     text_hits = substring_search(
-        docs, query, aircraft=aircraft, doc_type=doc_type, ata=ata)
+        docs, query, aircraft=aircraft, doc_type=doc_type, ata=ata,
+        category=category, es_reference=es_reference)
     if vector is None:
         hits = text_hits.withColumn("sem_score", F.lit(0.0))
     else:
@@ -238,6 +243,8 @@ def hybrid_search(
 def result_page(
     results: DataFrame, offset: int, limit: int, semantic: bool = True
 ) -> DataFrame:
+    # The search runs once; the page and the total read its hits.
+    results = stored(results, "hits")
     total = results.agg(F.count("*").alias("n")).scalar()
     return results.orderBy(F.desc("score"), "id").offset(offset).limit(limit).withColumns({
         "total": total, "mode": F.lit("hybrid" if semantic else "fts")})
@@ -298,8 +305,12 @@ def weighted_retrieval(
         F.desc("score"), "id").limit(k)
 
 
-def qa_sources(docs: DataFrame, vector: Sequence[float], k: int = 5) -> DataFrame:
+def qa_sources(
+    docs: DataFrame, vector: Sequence[float], k: int = 5, aircraft: str | None = None
+) -> DataFrame:
     """Archived documents nearest to the question, in rank order."""
+    if aircraft is not None:
+        docs = docs.filter(F.col("aircraft_registration").ilike(f"%{aircraft}%"))
     kept = docs.filter(
         (F.col("status") == "ARCHIVED") & F.col("embedding").isNotNull()).withColumn(
         "similarity", rounded(cosine_literal("embedding", vector), 6)).drop("embedding")

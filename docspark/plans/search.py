@@ -92,6 +92,13 @@ def r03_filtered(t: Tables) -> DataFrame:
         t.text(*_DOC_FIELDS), QUERY, aircraft="TS-IN", doc_type="work order", ata="2")
 
 
+@plan("r03_substring_search_by_reference", "WITH " + _hits_sql(
+    "AND d.category ILIKE '%check%' AND d.es_reference ILIKE '%10%'") + " SELECT * FROM fts")
+def r03_reference(t: Tables) -> DataFrame:
+    return search.substring_search(
+        t.text(*_DOC_FIELDS, "category"), QUERY, category="check", es_reference="10")
+
+
 @plan("u01_union_variant_hits", "WITH " + _hits_sql() + " SELECT * FROM fts")
 def u01(t: Tables) -> DataFrame:
     docs = t.text(*_DOC_FIELDS)
@@ -206,11 +213,11 @@ def question_vector(t: Tables) -> list[float]:
     return [float(x) for x in row[0]]
 
 
-def _sources(t: Tables) -> DataFrame:
+def _sources(t: Tables, aircraft: str | None = None) -> DataFrame:
     docs = t.text(
         "id", "filename", "doc_type", "category", "aircraft_registration",
         "es_reference", "ata_chapter", "status", "ocr_text", "embedding")
-    return search.qa_sources(docs, question_vector(t))
+    return search.qa_sources(docs, question_vector(t), aircraft=aircraft)
 
 
 @plan("r10_qa_sources", "WITH " + _NEAR_SQL.strip() + " SELECT id, rank, similarity FROM top")
@@ -218,6 +225,13 @@ def r10(t: Tables) -> DataFrame:
     return _sources(t).select("id", "rank", "similarity")
 
 
+@plan("r10_qa_sources_of_aircraft", "WITH " + _NEAR_SQL.strip().replace(
+    "d.status = 'ARCHIVED'", "d.status = 'ARCHIVED' AND d.aircraft_registration ILIKE '%TS-INF%'")
+    + " SELECT id, rank, similarity FROM top")
+def r10_aircraft(t: Tables) -> DataFrame:
+    return _sources(t, "ts-inf").select("id", "rank", "similarity")
+
+
 @plan("r11_qa_context", "WITH " + _NEAR_SQL.strip() + """,
 bl AS (SELECT rank, '[Doc ' || rank || '] ' || filename || chr(10) || 'Avion: ' || coalesce(aircraft_registration, 'N/A') || ' | Type: '
   || CASE doc_type WHEN 'AD' THEN 'Ad' WHEN 'SB' THEN 'Sb' WHEN 'RCT' THEN 'Rct' ELSE doc_type END || ' | Catégorie: ' || coalesce(category, 'N/A')
