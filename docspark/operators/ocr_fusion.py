@@ -147,6 +147,14 @@ def compare_engines(
         .alias("second_better_pct"))
 
 
+def engine_times(pages: DataFrame) -> DataFrame:
+    """Pages, attempts and mean seconds per engine; no text is read."""
+    return pages.groupBy("engine").agg(
+        F.countDistinct("document_id", "page_no").alias("pages"),
+        F.count("*").alias("attempts"),
+        rounded(exact_mean("seconds"), 3).alias("avg_seconds"))
+
+
 __all__ = [n for n in (
     "assemble_pages", "best_attempt_per_engine", "compare_engines",
     "document_ocr_rollup", "document_text", "exact_sum", "fuse_engines",

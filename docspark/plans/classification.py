@@ -368,3 +368,27 @@ SELECT count(*) AS pages, RND[MEAN[a];1] AS tesseract_avg, RND[MEAN[b];1] AS ope
   RND[count(*) FILTER (WHERE b > a) / count(*)::DOUBLE * 100;1] AS second_better_pct FROM pr""")
 def m23(t: Tables) -> DataFrame:
     return fuse.compare_engines(fuse.best_attempt_per_engine(t.page_ocr()))
+
+
+_PARTS = """conv_id AS document_id, turn AS page_no,
+  CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '' END AS native_text,
+  CASE conv_id % 2 WHEN 0 THEN text ELSE '' END AS ocr_text,
+  CAST(conv_id * 31 % 1001 AS DOUBLE) / 10 AS ocr_confidence"""
+
+
+@plan("m21_assemble_pages", f"""
+WITH p AS (SELECT {_PARTS} FROM conversations)
+SELECT document_id, page_no, CASE WHEN ocr_text <> '' THEN ocr_text ELSE coalesce(native_text, '') END AS text,
+  CASE WHEN ocr_text <> '' THEN ocr_confidence WHEN native_text <> '' THEN 97.0 ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN ocr_text <> '' THEN 'tesseract' ELSE 'pdfplumber' END AS engine FROM p""")
+def m21_pages(t: Tables) -> DataFrame:
+    t.raw("conversations").createOrReplaceTempView("docspark_page_parts")
+    return fuse.assemble_pages(t.spark.sql(f"SELECT {_PARTS} FROM docspark_page_parts"))
+
+
+@plan("m23_engine_times", """
+SELECT engine, count(DISTINCT (document_id, page_no)) AS pages, count(*) AS attempts,
+  RND[MEAN[CAST(confidence * 7 % 50 AS DOUBLE) / 10];3] AS avg_seconds FROM cat_page_ocr GROUP BY engine""")
+def m23_times(t: Tables) -> DataFrame:
+    return fuse.engine_times(t.page_ocr().withColumn(
+        "seconds", F.expr("CAST(confidence * 7 % 50 AS DOUBLE) / 10")))
