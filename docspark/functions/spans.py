@@ -1,41 +1,52 @@
-"""Span annotation: the one place that needs match offsets.
+"""Span annotation in columns, with match offsets.
 
-Spark's regular-expression functions return matches without positions, so a
-small Arrow-batched function finds the spans; everything after it is columns.
+Spark's regular-expression functions return matches without positions. A text
+split at the matches of a pattern gives what lies between them, and lengths add
+up to offsets. In every pattern the wanted group ends where the match ends.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docspark import fixed_values as fv
+from docspark.functions.basics import col
 
 SPAN_TYPE = "array<struct<start:int,end:int,label:string>>"
 
 
-def find_spans(text: str, compiled: list[tuple[str, re.Pattern]]) -> list[dict]:
-    """Non-overlapping spans; an earlier label or pattern keeps its place."""
-    taken = bytearray(len(text))
-    spans = []
-    for label, pattern in compiled:
-        for match in pattern.finditer(text):
-            start, end = match.span(1)
-            if any(taken[start:end]):
-                continue
-            taken[start:end] = b"\x01" * (end - start)
-            spans.append({"start": start, "end": end, "label": label})
-    return sorted(spans, key=lambda s: s["start"])
+def _matches(text: Column, label: str, pattern: str) -> Column:
+    """Spans of the first group of all matches, any case, Unicode classes."""
+    regex = f"(?iU){pattern}"
+    none = F.array().cast(SPAN_TYPE)
+    pieces = F.arrays_zip(
+        F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
+        F.regexp_extract_all(text, F.lit(regex), F.lit(1)))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def add(state: Column, piece: Column) -> Column:
+        end = state["at"] + F.length(piece["0"]) + F.length(piece["1"])
+        span = F.struct(
+            (end - F.length(piece["2"])).alias("start"), end.alias("end"),
+            F.lit(label).alias("label"))
+        more = F.struct(
+            end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        # The last piece is what follows the last match.
+        return F.when(piece["1"].isNull(), state).otherwise(more)
+
+    found = F.aggregate(pieces, start, add, lambda state: state["out"])
+    return F.when(text.rlike(regex), found).otherwise(none)
 
 
 def annotate_spans(
     airlines: Sequence[str] = (), text_limit: int | None = None
-):
-    """Pandas UDF text -> spans.
+) -> Callable[[str | Column], Column]:
+    """Function text -> spans in order, without overlaps: an earlier label or
+    pattern keeps its place.
 
     ``airlines`` adds operator names as a label of their own; ``text_limit``
     drops spans that end beyond a model's window.
@@ -46,16 +57,17 @@ def annotate_spans(
         names = "|".join(re.escape(a) for a in airlines)
         patterns.append(("AIRLINE", rf"\b({names})\b"))
 
-    @F.pandas_udf(SPAN_TYPE)
-    def annotate(texts: pd.Series) -> pd.Series:
-        compiled = [(lb, re.compile(p, re.IGNORECASE)) for lb, p in patterns]
-        out = []
-        for text in texts:
-            spans = find_spans(text or "", compiled)
-            if text_limit is not None:
-                spans = [s for s in spans if s["end"] <= text_limit]
-            out.append(spans)
-        return pd.Series(out)
+    def place(taken: Column, found: Column) -> Column:
+        return F.concat(taken, F.filter(found, lambda c: ~F.exists(
+            taken, lambda t: (t["start"] < c["end"]) & (c["start"] < t["end"]))))
+
+    def annotate(text: str | Column) -> Column:
+        body = F.coalesce(col(text), F.lit(""))
+        found = F.array(*[_matches(body, label, p) for label, p in patterns])
+        spans = F.aggregate(found, F.array().cast(SPAN_TYPE), place)
+        if text_limit is not None:
+            spans = F.filter(spans, lambda s: s["end"] <= text_limit)
+        return F.array_sort(spans)
 
     return annotate
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark import fixed_values as fv
 from docspark.functions import entities as ent
 from docspark.functions import labels, names, paths, registration, text
-from docspark.functions.spans import annotate_spans, find_spans
+from docspark.functions.spans import annotate_spans
 from docspark.operators import search
 
 
@@ -157,9 +157,37 @@ def test_spans_do_not_overlap(spark):
     ends = [0] + [s.end for s in spans]
     assert all(s.start >= e for s, e in zip(spans, ends))
     assert {s.label for s in spans} >= {"AIRCRAFT_REG", "ES_REF", "ATA_CHAPTER"}
-    compiled = [
-        (lb, re.compile(p, re.I)) for lb, many in fv.SPAN_PATTERNS.items() for p in many]
-    assert len(find_spans(body, compiled)) == len(spans)
+
+
+def find_spans(text, names=()):
+    """Plain loop: an earlier label or pattern keeps its place."""
+    patterns = [(lb, p) for lb, many in fv.SPAN_PATTERNS.items() for p in many]
+    if names:
+        patterns.append(("AIRLINE", rf"\b({'|'.join(map(re.escape, names))})\b"))
+    taken, spans = set(), []
+    for label, pattern in patterns:
+        for match in re.finditer(pattern, text, re.I):
+            place = range(*match.span(1))
+            if taken.isdisjoint(place):
+                taken |= set(place)
+                spans.append((*match.span(1), label))
+    return sorted(spans)
+
+
+def test_spans_match_plain_loop(spark, tables):
+    hard = spark.createDataFrame([
+        (-1, "éTS-INA TS-INB ats-inc ES001042 es 001043 ATA 21-30 21-30-11 P/N AB-123 Part No: XY99-1 "
+             "SB é-abcd 5 AOÛT 2024 12 mars 2023 \U0001F600 2024-01-02 AD 2024-01-02 by Fly & Co. air"),
+        (-2, None), (-3, "")], "id long, ocr_text string")
+    rows = tables.text("id", "ocr_text").unionByName(hard)
+    for names in ((), ("Acme Air", "Fly & Co")):
+        for limit in (None, 60):
+            found = rows.select("ocr_text", annotate_spans(names, limit)("ocr_text").alias("s"))
+            assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+            for row in found.collect():
+                want = find_spans(row.ocr_text or "", names)
+                assert [tuple(s) for s in row.s] == [
+                    w for w in want if limit is None or w[1] <= limit]
 
 
 def test_given_order(spark, tables):
