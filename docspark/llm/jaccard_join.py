@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewords import NOT_SPACE, chunks, mix
+from docspark.llm.bytewords import NOT_SPACE, chunks, mix, small_batches
 from docspark.llm.components import components
 from docspark.session import stored
 
@@ -359,8 +359,13 @@ def jaccard_components(
     least id reachable over links. Rows that share an id are one document
     with several texts; a null id links with nothing and has a null component.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with small_batches(docs.sparkSession):
+        return _components(docs, n_words, num, den)
+
+
+def _components(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
+    spark = docs.sparkSession
     scanned = stored(docs.mapInArrow(
         _classes_and_counts(n_words),
         "doc_id long, n_shingles long, sig1 long, sig2 long, part int, task long, counts binary"), "classes")
