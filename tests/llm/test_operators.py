@@ -201,6 +201,13 @@ def test_repeated_stretches_go_without_article(spark):
     assert got[13] == got[14] == "mirror page with some words in it"
 
 
+def test_elements_without_end_tag_keep_the_rest():
+    for odd in ('<svg class="i"/>', '<svg class="a>b" />', "<noscript>", "<select>", "<textarea name=x>", "<iframe src='x'/>", "</svg>"):
+        page = f"<article><p>One {odd}two</p><p>three <svg><svg><text>no</text></svg>no</svg>four</p></article>"
+        assert html_text.blocks_of(page) == [(html_text.MAIN, "One two"), (html_text.MAIN, "three four")]
+    assert html_text.blocks_of("<p>a<noscript>b</noscript>c<!-- </svg> --><p>d<style>e") == [(html_text.FREE, "ac"), (html_text.FREE, "d")]
+
+
 # Classifier -----------------------------------------------------------------
 
 def test_sum_of_squares_identity():
