@@ -201,6 +201,23 @@ def test_repeated_stretches_go_without_article(spark):
     assert got[13] == got[14] == "mirror page with some words in it"
 
 
+def test_unmarked_blocks_are_judged_on_every_page(spark):
+    menu = "<div>Home</div><div>Home | News | Sport | Weather | Contact us | Imprint</div>"
+    share = "<div>Share this</div><div>Read more of the same kind in our weekly letter</div>"
+    quote = "<p>the same words stand here in more than one article of this host</p>"
+    story = [f"Story number {i} tells of {' '.join(PROSE[i:i + 9])}" for i in range(4)]
+    rows = [(i, f"http://h.example/{i}", f"<body>{menu}<div>{story[i]}</div><div class='post'><p>teaser {i}</p></div></body>") for i in range(2)]
+    rows += [(i, f"http://h.example/{i}", f"<body>{menu}<article><h1>{i}</h1>{share}{quote}<div>{story[i]}</div></article></body>") for i in (2, 3)]
+    copy = f"<article><h1>copy</h1><div>{' '.join(PROSE)}</div></article>"
+    rows += [(4, "http://h.example/4", copy), (5, "http://h.example/4?print", copy + "<div>printed</div>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(2):
+        assert got[i] == f"{story[i]}\nteaser {i}"
+    for i in (2, 3):
+        assert got[i] == f"{i}\n{quote[3:-4]}\n{story[i]}"
+    assert got[4] == f"copy\n{' '.join(PROSE)}" and got[5] == got[4] + "\nprinted"
+
+
 def test_elements_without_end_tag_keep_the_rest():
     for odd in ('<svg class="i"/>', '<svg class="a>b" />', "<noscript>", "<select>", "<textarea name=x>", "<iframe src='x'/>", "</svg>"):
         page = f"<article><p>One {odd}two</p><p>three <svg><svg><text>no</text></svg>no</svg>four</p></article>"
