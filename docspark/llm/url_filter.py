@@ -6,11 +6,11 @@ each; every other URL is judged by the difference of its log-likelihoods under
 the two models, per character, against a threshold calibrated on the same
 labelled URLs.
 
-The models are tables of substrings of up to five characters. A substring is
-kept when it makes up at least 2^-17 of all training positions of its length,
-so a table holds at most 2^17 rows whatever the input: the bound under which
-the tables are broadcast. Longer contexts are used where they were kept, the
-shorter ones carry the rest (smoothing towards the next shorter context).
+The models are tables of all substrings of up to five characters; none is
+dropped for being rare. The longest context seen in training counts, smoothed
+towards the next shorter one. Substrings are combined before they are judged,
+and URLs look theirs up by a shuffled join, so nothing that grows with the
+input is gathered.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
     ("block", "net/es/"), ("block", "net/fr/"))
 ORDER = 5
-MIN_SHARE_BITS = 17
+#: Substrings that hold more than 1/HOT of all places are looked up apart;
+#: fewer than HOT can do so.
+HOT = 1024
 #: Weight of the shorter context, in observations.
 SMOOTHING = 4.0
 #: Bins of the score for calibration; scores lie well within +-8 per character.
@@ -56,63 +58,59 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return cases
 
 
-def _characters(urls: DataFrame, text: str) -> DataFrame:
-    """One row per character of `text` and the end mark: substrings g1 to g5
-    that end there. `text` is padded in front, so all positions have five."""
-    padded = F.concat(F.lit(_START * (ORDER - 1)), F.col(text), F.lit(_END))
-    at = urls.withColumn("_p", padded).withColumn(
-        "_i", F.explode(F.sequence(F.lit(ORDER), F.length("_p"))))
-    for k in range(1, ORDER + 1):
-        at = at.withColumn(f"g{k}", F.expr(f"substring(_p, _i - {k - 1}, {k})"))
-    return at.drop("_p", "_i")
+def _characters(urls: DataFrame) -> DataFrame:
+    """One row per character of `url` and the end mark: `g`, the substring of
+    five that ends there. URLs are padded in front, so all places have one."""
+    padded = F.concat(F.lit(_START * (ORDER - 1)), F.col("url"), F.lit(_END))
+    return urls.withColumn("_p", padded).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("url") + 1))).withColumn(
+        "g", F.expr(f"substring(_p, _i, {ORDER})")).drop("_p", "_i", "url")
 
 
-def _models(labelled: DataFrame) -> list[DataFrame]:
-    """For k = 1..5: (g, ratio), the log of accepted over rejected probability
-    of the last character of g after the characters before it.
+def _steps(grams: DataFrame) -> DataFrame:
+    """(g, step) for each substring of five: the log, in thousandths, of
+    accepted over rejected probability of its last character after those
+    before it, in the longest context that was seen in training.
 
-    Substrings are counted after equal URLs are combined. The probability of
-    order k leans on that of order k - 1, which shares its last characters.
+    The probability of order k leans on that of order k - 1, which shares its
+    last characters. Those of a substring that was not seen are null.
     """
-    places = stored(_characters(labelled, "url"), "url-characters")
-    totals = places.groupBy().agg(
-        F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")).first()
-    least = (sum(totals[c] or 0 for c in ("accepted", "rejected"))) / 2 ** MIN_SHARE_BITS
-    tables, lower = [], None
+    lower, base = None, {c: F.lit(1 / 256) for c in ("accepted", "rejected")}
     for k in range(1, ORDER + 1):
-        gram = places.groupBy(F.col(f"g{k}").alias("g")).agg(
-            *[F.sum(c).alias(c) for c in ("accepted", "rejected")])
-        kept = gram.filter((F.col("accepted") + F.col("rejected")) >= least)
-        kept = kept.withColumn("context", F.expr("left(g, length(g) - 1)")).withColumn(
-            "shorter", F.expr("substring(g, 2)"))
+        gram = grams.groupBy(F.expr(f"right(g, {k})").alias("g")).agg(
+            *[F.sum(c).alias(c) for c in base])
         before = gram.groupBy(F.expr("left(g, length(g) - 1)").alias("context")).agg(
-            *[F.sum(c).alias(f"c_{c}") for c in ("accepted", "rejected")])
-        kept = kept.join(before, "context")
-        if lower is None:
-            base = {c: F.lit(1 / 256) for c in ("accepted", "rejected")}
-        else:
-            kept = kept.join(lower, "shorter", "left")
-            base = {c: F.coalesce(F.col(f"p_{c}"), F.lit(1e-6)) for c in ("accepted", "rejected")}
-        shares = {c: (F.col(c) + SMOOTHING * base[c]) / (F.col(f"c_{c}") + SMOOTHING) for c in base}
-        table = stored(kept.select("g", *[shares[c].alias(f"q_{c}") for c in shares]), f"url-model-{k}")
-        lower = table.select(F.col("g").alias("shorter"), *[F.col(f"q_{c}").alias(f"p_{c}") for c in base])
-        tables.append(table.select("g", F.log(F.col("q_accepted") / F.col("q_rejected")).alias("ratio")))
-    return tables
-
-
-def _scored(urls: DataFrame, models: Sequence[DataFrame]) -> DataFrame:
-    """(url, score): mean log ratio over the characters of distinct URLs."""
-    places = _characters(urls.select("url"), "url")
-    best = []
-    for k in range(ORDER, 0, -1):
-        # At most 2^17 rows, see the module text.
-        model = F.broadcast(models[k - 1].select(F.col("g").alias(f"m{k}"), F.col("ratio").alias(f"r{k}")))
-        places = places.join(model, F.col(f"g{k}") == F.col(f"m{k}"), "left")
-        best.append(F.col(f"r{k}"))
+            *[F.sum(c).alias(f"c_{c}") for c in base])
+        gram = gram.withColumn("context", F.expr("left(g, length(g) - 1)")).withColumn(
+            "shorter", F.expr("substring(g, 2)")).join(before, "context")
+        ratio = F.lit(0.0)
+        if lower is not None:
+            gram = gram.join(lower, "shorter")
+            base, ratio = {c: F.col(f"p_{c}") for c in base}, F.col("lower_ratio")
+        shares = [F.when(F.col("accepted") + F.col("rejected") > 0, (F.col(c) + SMOOTHING * base[c]) / (
+            F.col(f"c_{c}") + SMOOTHING)).alias(f"q_{c}") for c in base]
+        table = stored(gram.select("g", ratio.alias("_ratio"), *shares).select("g", "q_accepted", "q_rejected", F.coalesce(
+            F.log(F.col("q_accepted") / F.col("q_rejected")), F.col("_ratio")).alias("ratio")), f"url-model-{k}")
+        lower = table.select(F.col("g").alias("shorter"), F.col("ratio").alias("lower_ratio"),
+                             *[F.col(f"q_{c}").alias(f"p_{c}") for c in base])
     # Whole thousandths add up to the same sum in any order of the rows.
-    step = F.round(F.coalesce(*best, F.lit(0.0)) * 1000).cast("long")
-    return places.select("url", step.alias("step")).groupBy("url").agg(
-        (F.sum("step") / F.count("*") / 1000).alias("score"))
+    return table.select("g", F.round(F.col("ratio") * 1000).cast("long").alias("step"))
+
+
+def _scored(urls: DataFrame) -> DataFrame:
+    """(id, score): mean log ratio over the characters of each row of
+    (id, url, accepted, rejected)."""
+    grams = stored(_characters(urls.select("url", "accepted", "rejected")).groupBy("g").agg(
+        F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), F.count("*").alias("places")), "url-grams")
+    total = F.broadcast(grams.agg((F.sum("places") / HOT).alias("bar")))
+    hot = grams.join(total, F.col("places") > F.col("bar"), "left_semi").select("g")
+    steps = stored(_steps(grams).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "g", "left"), "url-steps")
+    few = F.broadcast(steps.filter("hot").select("g", F.col("step").alias("hot_step")))
+    places = _characters(urls.select("id", "url")).join(few, "g", "left")
+    # Rows with a hot substring have their step; a null key meets nothing and
+    # would pile up in one task, so they stay out of the shuffled join.
+    parts = places.filter("hot_step IS NOT NULL").select("id", F.col("hot_step").alias("step")).union(
+        places.filter("hot_step IS NULL").join(steps.filter("hot IS NULL"), "g").select("id", "step"))
+    return parts.groupBy("id").agg((F.sum("step") / F.count("*") / 1000).alias("score"))
 
 
 def _threshold(scores: DataFrame) -> float:
@@ -149,11 +147,11 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) ->
     # one costs as much as a rare one.
     distinct = stored(ruled.groupBy("url").agg(
         F.sum(F.when(F.col("_rule.verdict") == "allow", 1).otherwise(0)).alias("accepted"),
-        F.sum(F.when(F.col("_rule.verdict") == "block", 1).otherwise(0)).alias("rejected")), "urls")
-    models = _models(distinct.filter("accepted + rejected > 0"))
-    scores = stored(_scored(distinct, models), "url-scores")
-    threshold = _threshold(scores.join(distinct, "url"))
-    open_scores = scores.join(distinct.filter("accepted + rejected = 0"), "url").select("url", "score")
+        F.sum(F.when(F.col("_rule.verdict") == "block", 1).otherwise(0)).alias("rejected")).withColumn(
+            "id", F.monotonically_increasing_id()), "urls")
+    scores = stored(_scored(distinct).join(distinct, "id"), "url-scores")
+    threshold = _threshold(scores)
+    open_scores = scores.filter("accepted + rejected = 0").select("url", "score")
     return ruled.join(open_scores, "url", "left").select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),
         F.coalesce("_rule.verdict", F.when(F.col("score") < threshold, "block").otherwise("allow")).alias("verdict"),

@@ -336,6 +336,35 @@ def test_url_models_tell_classes_apart(spark):
     assert {got[300 + i] for i in range(5)} == {"block"} and {got[400 + i] for i in range(5)} == {"allow"}
 
 
+def test_url_models_keep_rare_substrings(spark):
+    """A substring's weight must not depend on how many other URLs there are."""
+    urls = ["ab", "abc", "xbc", "é𝄞c"]
+    rows = [(i, u, a * 10**6, r * 10**6) for i, (u, a, r) in enumerate(zip(urls, (1, 0, 0, 0), (0, 1, 0, 0)))]
+    rows += [(9, "abcd", 1, 0)]
+    got = {r.id: r.score for r in url_filter._scored(spark.createDataFrame(rows, "id long, url string, accepted long, rejected long")).collect()}
+
+    counts = {}
+    for _, u, a, r in rows:
+        p = "\2" * 4 + u + "\3"
+        for e in range(5, len(p) + 1):
+            for k in range(1, 6):
+                for key in (p[e - k:e], (p[e - k:e - 1], k)):
+                    c = counts.setdefault(key, [0, 0])
+                    c[0] += a
+                    c[1] += r
+
+    def share(g, side):
+        lower = share(g[1:], side) if len(g) > 1 else 1 / 256
+        return (counts[g][side] + 4 * lower) / (counts[g[:-1], len(g)][side] + 4)
+
+    for i, u, _, _ in rows:
+        p, steps = "\2" * 4 + u + "\3", []
+        for e in range(5, len(p) + 1):
+            g = next((p[e - k:e] for k in range(5, 0, -1) if sum(counts[p[e - k:e]])), None)
+            steps.append(round(1000 * np.log(share(g, 0) / share(g, 1))) if g else 0)
+        assert got[i] == pytest.approx(sum(steps) / len(steps) / 1000, abs=1e-3)
+
+
 # Lines ------------------------------------------------------------------------
 
 def lines_brute(rows):
