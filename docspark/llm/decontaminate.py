@@ -25,7 +25,8 @@ from docspark.session import stored
 
 PAIR_BITS = 22
 #: Item words in one automaton (about 1 kB each while it is built). Larger
-#: benchmarks are matched in several automata, one pass over the texts each.
+#: benchmarks are matched in several automata, one pass over the texts each;
+#: results do not depend on how many there are.
 BLOCK_WORDS = 200_000
 
 
@@ -221,6 +222,40 @@ def _scan(shared):
     return run
 
 
+def _without(words: Words, hit: np.ndarray) -> str:
+    """The text of a chunk of one text, without its hit words."""
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    raw, kept, at = words.data.tobytes(), [], 0
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        kept.append(raw[at:words.starts[a]])
+        at = int(words.ends[b - 1])
+    kept.append(raw[at:])
+    return b"".join(kept).decode("utf-8")
+
+
+def _cut_hits(max_coverage: float):
+    """Rows without the words in `_hits`; rows with too many of them go.
+    `_hits` of what stays is left to tell the rows that were cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts, hits = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_hits")).to_pylist()
+            keep = np.ones(len(texts), dtype=bool)
+            for row, places in enumerate(hits):
+                if not places:
+                    continue
+                words = next(chunks(pa.array([texts[row]], pa.large_string()), ALPHANUMERIC))
+                hit = np.zeros(len(words.starts), dtype=bool)
+                hit[places] = True
+                keep[row] = hit.sum() <= max_coverage * len(hit)
+                texts[row] = _without(words, hit)
+            batch = batch.set_column(at, "text", pa.array(texts, batch.column(at).type))
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _cut(shared, max_coverage: float):
     """Texts without their hit words; null where too much of a text is hit.
 
@@ -239,13 +274,7 @@ def _cut(shared, max_coverage: float):
                 return text
             if hit.sum() > max_coverage * len(hit):
                 return None
-            edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-            raw, kept, at = words.data.tobytes(), [], 0
-            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                kept.append(raw[at:words.starts[a]])
-                at = int(words.ends[b - 1])
-            kept.append(raw[at:])
-            text = b"".join(kept).decode("utf-8")
+            text = _without(words, hit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher: Matcher = shared.value
@@ -302,9 +331,21 @@ def contamination(
     if len(matchers) == 1:
         plain = rows.withColumn("key", F.lit(None).cast("string"))
         return plain.mapInArrow(_scan(matchers[0]), SCANNED).drop("key")
-    # One pass per automaton. Rows meet again by id and digest of the text;
-    # equal rows have equal results, so each row takes the group's.
+    # Rows meet again by id and digest of the text; equal rows have equal
+    # results, so each row takes the group's.
     keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    passes, found = _all_hits(keyed, matchers)
+    base = passes[0].select("doc_id", "key", "n_words")
+    same = base["doc_id"].eqNullSafe(found["doc_id"]) & (base["key"] == found["key"])
+    return base.join(found, same, "left").select(
+        base["doc_id"], "n_words",
+        F.coalesce("h", F.array().cast("array<int>")).alias("hits"),
+        F.coalesce("i", F.array().cast("array<string>")).alias("items"))
+
+
+def _all_hits(keyed: DataFrame, matchers: list) -> tuple[list[DataFrame], DataFrame]:
+    """One stored pass per automaton over rows (doc_id, text, key), and
+    (doc_id, key, h, i): the hits and items of all of them."""
     passes = [stored(keyed.mapInArrow(_scan(m), SCANNED), "contamination") for m in matchers]
     found = passes[0]
     for more in passes[1:]:
@@ -312,12 +353,28 @@ def contamination(
     found = found.filter(F.size("items") > 0).select("doc_id", "key", "hits", "items").distinct().groupBy("doc_id", "key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("h"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
-    base = passes[0].select("doc_id", "key", "n_words")
-    same = base["doc_id"].eqNullSafe(found["doc_id"]) & (base["key"] == found["key"])
-    return base.join(found, same, "left").select(
-        base["doc_id"], "n_words",
-        F.coalesce("h", F.array().cast("array<int>")).alias("hits"),
-        F.coalesce("i", F.array().cast("array<string>")).alias("items"))
+    return passes, found
+
+
+def _cut_by_all(docs: DataFrame, matchers: list, max_coverage: float) -> DataFrame:
+    """`docs` cut by several automata as by one: the hits of all on the same
+    text are joined, tested and cut, until no text is hit."""
+    out, rest = None, docs
+    while True:
+        # Spreads equal texts where rows have an id.
+        doc_id = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit(None).cast("string")
+        keyed = rest.withColumn("_id", F.xxhash64(doc_id)).withColumn(
+            "_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+        _, found = _all_hits(keyed.select(
+            F.col("_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_key").alias("key")), matchers)
+        found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("h").alias("_hits"))
+        joined = keyed.join(found, ["_id", "_key"], "left").select(*docs.columns, "_hits")
+        cut = stored(joined.mapInArrow(_cut_hits(max_coverage), joined.schema), "decontaminated")
+        settled = cut.filter("_hits IS NULL").drop("_hits")
+        out = settled if out is None else out.union(settled)
+        rest = cut.filter("_hits IS NOT NULL").drop("_hits")
+        if rest.isEmpty():
+            return out
 
 
 def _matchers_shared(spark, benchmark: DataFrame, window: int, block_words: int) -> Iterator:
@@ -345,9 +402,12 @@ def decontaminate(
     stay; `n_chars`, where there is one, follows the text. Other texts, null
     and empty ones included, are unchanged.
     """
-    spark, out = docs.sparkSession, docs
-    for matcher in _matchers_shared(spark, benchmark, window, block_words):
-        out = out.mapInArrow(_cut(matcher, max_coverage), out.schema)
+    spark = docs.sparkSession
+    matchers = list(_matchers_shared(spark, benchmark, window, block_words))
+    if len(matchers) == 1:
+        out = docs.mapInArrow(_cut(matchers[0], max_coverage), docs.schema)
+    else:
+        out = _cut_by_all(docs, matchers, max_coverage)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(

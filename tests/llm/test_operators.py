@@ -523,5 +523,20 @@ def test_span_cut_keeps_the_rest(spark):
     assert row.text == "Before, ; after it all " + "filler " * 30 and row.n_chars == len(row.text)
 
 
+def test_cut_does_not_depend_on_blocks(spark):
+    a, b = ([f"{x}{i}" for i in range(30)] for x in "ab")
+    rest = [f"r{i}" for i in range(100)]
+    inner = a[:5] + b[:12] + a[5:12]
+    rows = [(1, " ".join(a + rest[:20] + b + rest[20:40])), (2, " ".join(rest[:60] + a)), (3, " ".join(rest + inner)),
+            (4, None), (None, " ".join(rest)), (3, " ".join(rest + inner))]
+    frame = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_chars int")
+    for items in ((a, b), (b, a)):
+        bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").coalesce(1)
+        one, many = (sorted_rows(deco.decontaminate(frame, bench, block_words=n)) for n in (10**6, 20))
+        assert one == many
+        assert {r[0] for r in many} == {2, 3, 4, None}
+        assert [r[1].split() for r in many if r[0] == 3] == [rest, rest]
+
+
 def test_html_unescape_is_whole():
     assert html_text.blocks_of("<article>&lt;p&gt; &#233;&eacute;</article>") == [(html_text.MAIN, html.unescape("&lt;p&gt; éé"))]
