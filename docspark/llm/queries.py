@@ -20,6 +20,7 @@ from docspark.llm.source_mix import mix_report
 from docspark.llm.url_filter import url_verdicts
 from docspark.llm.warc import SQL as WARC_SQL
 from docspark.llm.warc import warc_round_trip
+from docspark.llm.whitening import whitening_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,3 +96,8 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening_report(_table(spark, folder, "embeddings"), components=4)
