@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.llm.ball_tree_search import SQL as SEARCH_SQL
+from docspark.llm.ball_tree_search import lexical_search
 from docspark.llm.decontaminate import contamination_report
 from docspark.llm.html_text import main_text
 from docspark.llm.jaccard_join import jaccard_components
@@ -101,3 +103,11 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening_report(_table(spark, folder, "embeddings"), components=4)
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=50)
+
+
+ORACLE_SQL["op12_lexical_search"] = SEARCH_SQL
