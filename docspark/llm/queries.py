@@ -13,6 +13,7 @@ from docspark.llm.html_text import main_text
 from docspark.llm.jaccard_join import jaccard_components
 from docspark.llm.line_dedup import SQL as LINES_SQL
 from docspark.llm.line_dedup import line_report
+from docspark.llm.lm_scoring import lm_scores
 from docspark.llm.quality_classifier import quality_scores
 from docspark.llm.quality_rules import SQL as QUALITY_SQL
 from docspark.llm.quality_rules import quality_verdicts
@@ -111,3 +112,8 @@ def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE_SQL["op12_lexical_search"] = SEARCH_SQL
+
+
+@query
+def op13_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(_table(spark, folder, "documents"))
