@@ -118,6 +118,11 @@ def _minimal(variants: Sequence[str]) -> list[str]:
         if not any(y in x and y != x for y in low)]
 
 
+def minimal_variants(query: str) -> list[str]:
+    """The spellings of a query an index must be asked for."""
+    return _minimal(query_variants(query))
+
+
 def substring_search(
     docs: DataFrame, query: str, *, aircraft: str | None = None,
     doc_type: str | None = None, ata: str | None = None,
