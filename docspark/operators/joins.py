@@ -17,7 +17,7 @@ from docspark.functions import labels
 from docspark.functions.basics import extract
 from docspark.functions.entities import linked_wp_refs, normalise_es, rct_anchor
 from docspark.functions.paths import file_name, strip_long_path_prefix
-from docspark.operators.scale import best_per_key, contains_join, majority_value
+from docspark.operators.scale import best_per_key, contains_aggregate, majority_value
 from docspark.session import stored
 
 
@@ -90,10 +90,9 @@ def check_document_counts(
         F.upper("aircraft_registration").alias("registration"),
         F.upper("es_reference").alias("reference")).agg(F.count("*").alias("n")).filter(
         F.col("registration").isNotNull() & F.col("reference").isNotNull())
-    pairs = contains_join(
-        references, "reference", visits.select("registration", "number").distinct(),
-        "number", equal=["registration"])
-    totals = pairs.groupBy("registration", "number").agg(F.sum("n").alias("documents"))
+    totals = contains_aggregate(
+        references, "reference", visits.select("registration", "number"), "number",
+        [F.sum("n").alias("documents")], equal=["registration"])
     return visits.join(totals, ["registration", "number"]).select(
         "id", "registration", "es_reference", "check_type", "start_date", "documents")
 
@@ -109,27 +108,33 @@ def resolve_aircraft(unknown: DataFrame, catalogue: DataFrame) -> DataFrame:
     wanted = unknown.select(
         "id", _number_from(F.col("es_reference")).alias("own"),
         _number_from(extract(F.upper("filename"), r"(ES\d{4,8})")).alias("named"))
-    numbers = wanted.select(F.explode(F.array("own", "named")).alias("number")).filter(
+    asked = stored(wanted, "unknown-aircraft")
+    numbers = asked.select(F.explode(F.array("own", "named")).alias("number")).filter(
         F.col("number") != "").distinct()
     known = catalogue.filter(F.col("aircraft_registration") != "").groupBy(
         F.upper("es_reference").alias("reference"), "aircraft_registration").agg(
         F.count("*").alias("n")).filter(F.col("reference").isNotNull())
-    references = known.select("reference").distinct()
-    pairs = contains_join(references, "reference", numbers, "number")
-    votes = majority_value(
-        pairs.join(known, "reference"), ["number"], "aircraft_registration",
-        F.col("n"))
-    own = votes.select(
-        F.col("number").alias("own"), F.col("aircraft_registration").alias("r1"),
-        F.col("votes").alias("v1"))
-    named = votes.select(
-        F.col("number").alias("named"), F.col("aircraft_registration").alias("r2"),
-        F.col("votes").alias("v2"))
-    return wanted.join(own, "own", "left").join(named, "named", "left").select(
-        "id", F.coalesce("r1", "r2").alias("aircraft_registration"),
-        F.coalesce("v1", "v2").alias("votes"),
-        F.when(F.col("r1").isNotNull(), "reference")
-        .when(F.col("r2").isNotNull(), "filename").alias("method"))
+    counted = contains_aggregate(
+        known, "reference", numbers, "number", [F.sum("n").alias("n")], by=["aircraft_registration"])
+    votes = stored(majority_value(
+        counted, ["number"], "aircraft_registration", F.col("n")), "votes")
+
+    def elected(place: str, tag: str) -> DataFrame:
+        """Votes for the numbers in one column; rows without one stay out of
+        the join, so they are no key of it."""
+        return asked.filter(F.col(place) != "").join(
+            votes.withColumnRenamed("number", place), place).select(
+            F.col("id").alias(f"_{tag}"), F.col("aircraft_registration").alias(f"r_{tag}"),
+            F.col("votes").alias(f"v_{tag}"))
+
+    # Ids are unique: each join adds at most one row to a document.
+    own, named = elected("own", "own"), elected("named", "named")
+    return asked.select("id").join(own, F.col("id") == F.col("_own"), "left").join(
+        named, F.col("id") == F.col("_named"), "left").select(
+        "id", F.coalesce("r_own", "r_named").alias("aircraft_registration"),
+        F.coalesce("v_own", "v_named").alias("votes"),
+        F.when(F.col("r_own").isNotNull(), "reference")
+        .when(F.col("r_named").isNotNull(), "filename").alias("method"))
 
 
 def linked_references(docs: DataFrame, text: str = "ocr_text") -> DataFrame:
@@ -150,15 +155,21 @@ def work_order_categories(catalogue: DataFrame) -> DataFrame:
         F.min_by("category", "id").alias("linked_category"))
 
 
+def linked_categories(numbers: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(number, linked_category): of the Work Orders whose reference contains
+    the number, the one with the lowest id decides."""
+    orders = stored(work_order_categories(catalogue), "work-orders")
+    least = contains_aggregate(
+        orders, "reference", numbers, "number", [F.min("source_id").alias("source_id")])
+    return least.join(orders.select("source_id", "linked_category"), "source_id").select(
+        "number", "linked_category")
+
+
 def resolve_linked_wp(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Category of the first linked package found in the catalogue."""
     refs = stored(linked_references(docs).filter(F.col("number") != "").select(
         "id", "pos", F.col("reference").alias("linked_ref"), "number"), "linked")
-    pairs = contains_join(
-        work_order_categories(catalogue), "reference",
-        refs.select("number").distinct(), "number")
-    hits = pairs.groupBy("number").agg(
-        F.min_by("linked_category", "source_id").alias("linked_category"))
+    hits = linked_categories(refs.select("number").distinct(), catalogue)
     return refs.join(hits, "number").groupBy("id").agg(
         F.min_by("linked_category", "pos").alias("linked_category"),
         F.min_by("linked_ref", "pos").alias("linked_ref"))

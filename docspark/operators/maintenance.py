@@ -15,8 +15,8 @@ from docspark import fixed_values as fv
 from docspark.functions import labels
 from docspark.functions.basics import contains_any
 from docspark.functions.registration import any_msn, registration_from_msn
-from docspark.operators.joins import linked_references, work_order_categories
-from docspark.operators.scale import contains_join, majority_value
+from docspark.operators.joins import linked_categories, linked_references
+from docspark.operators.scale import majority_value
 from docspark.session import stored
 
 
@@ -191,11 +191,7 @@ def linked_wp_repair(docs: DataFrame) -> DataFrame:
         (labels.normalise_doc_type("doc_type") == "Work Order")
         & (F.col("status") == "ARCHIVED") & F.col("ocr_text").ilike("%linked%wp%"))
     refs = stored(linked_references(orders).filter(F.col("number") != ""), "linked")
-    pairs = contains_join(
-        work_order_categories(docs), "reference",
-        refs.select("number").distinct(), "number")
-    hits = pairs.groupBy("number").agg(
-        F.min_by("linked_category", "source_id").alias("linked_category"))
+    hits = linked_categories(refs.select("number").distinct(), docs)
     chosen = refs.join(hits, "number").groupBy("id").agg(
         F.min_by("linked_category", "pos").alias("new_category"))
     state = (

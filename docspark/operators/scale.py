@@ -8,7 +8,8 @@
 * ``running_sums`` computes prefix sums over blocks of the order key, so no
   task ever sorts a whole partition key.
 * ``in_ranges`` cuts rows into ranges of their own order.
-* ``contains_join`` turns a "contains" join into an equi join.
+* ``contains_join`` turns a "contains" join into an equi join, and
+  ``contains_aggregate`` sums up what contains a needle before any join.
 """
 
 from __future__ import annotations
@@ -119,16 +120,11 @@ def running_sums(
         (F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
-def contains_join(
+def _pieces(
     haystacks: DataFrame, haystack: str, needles: DataFrame, needle: str,
-    equal: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs where ``haystack`` contains ``needle``, as an equi join.
-
-    Both inputs should be distinct values. Haystacks are cut into substrings
-    of the lengths that occur among the needles, so nothing is compared
-    pairwise. Lengths are bounded by the longest key.
-    """
+    """Haystack rows once per distinct substring of a length that occurs
+    among the needles. Lengths are bounded by the longest key."""
     lengths = needles.agg(
         F.sort_array(F.collect_set(F.length(needle))).alias("lengths")).scalar()
     text, size = F.col(haystack), F.col("_size")
@@ -137,5 +133,33 @@ def contains_join(
     cuts = F.transform(
         F.sequence(F.lit(1), F.length(text) - size + 1),
         lambda at: F.substring(text, at, size))
-    pieces = sized.withColumn(needle, F.explode(F.array_distinct(cuts))).drop("_size")
-    return pieces.join(needles, [*equal, needle])
+    return sized.withColumn(needle, F.explode(F.array_distinct(cuts))).drop("_size")
+
+
+def contains_join(
+    haystacks: DataFrame, haystack: str, needles: DataFrame, needle: str,
+    equal: Sequence[str] = (),
+) -> DataFrame:
+    """Pairs where ``haystack`` contains ``needle``, as an equi join.
+
+    Both inputs should be distinct values; nothing is compared pairwise. A
+    very short needle has very many pairs: where only their sum matters, use
+    ``contains_aggregate``.
+    """
+    return _pieces(haystacks, haystack, needles, needle).join(needles, [*equal, needle])
+
+
+def contains_aggregate(
+    haystacks: DataFrame, haystack: str, needles: DataFrame, needle: str,
+    aggregates: Sequence[Column], equal: Sequence[str] = (), by: Sequence[str] = (),
+) -> DataFrame:
+    """Per needle (and value of ``by``) the aggregates of the haystack rows
+    that contain it, within the same values of ``equal``.
+
+    Substrings are aggregated before they meet the needles, and Spark combines
+    them before the shuffle: a needle of one digit, part of nearly every
+    haystack, moves one row per task.
+    """
+    summed = _pieces(haystacks, haystack, needles, needle).groupBy(
+        *equal, needle, *by).agg(*aggregates)
+    return summed.join(needles.select(*equal, needle).distinct(), [*equal, needle], "left_semi")

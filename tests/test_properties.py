@@ -9,7 +9,7 @@ from docspark.operators import evaluation as ev
 from docspark.operators import maintenance as fix
 from docspark.operators.duplicates import copies_to_delete, exact_duplicates
 from docspark.operators.scale import (
-    contains_join, join_to_groups, majority_value, running_sums)
+    contains_aggregate, contains_join, join_to_groups, majority_value, running_sums)
 from docspark.operators.windows import segment_metadata, segment_pages
 from docspark.sources import catalogue, files
 from docspark.sources.files import archive_layout
@@ -137,3 +137,32 @@ def test_texts_are_not_read_for_dashboards(spark, tables):
         plan = PLANS[name].build(tables)._jdf.queryExecution().executedPlan().toString()
         assert "text#" not in plan
         assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_contains_aggregate_equals_pairs(spark):
+    chance = random.Random(3)
+    hay = [(f"ES{chance.randrange(10 ** 6):06d}", i % 5, i) for i in range(300)] + [(None, 1, 9), ("", 2, 9)]
+    needles = [str(n) for n in (0, 1, 7, 12, 404, 9999)] + ["ES", "no", "1"]
+    left = spark.createDataFrame(hay, "h string, g int, v long")
+    right = spark.createDataFrame([(n,) for n in needles], "n string")
+    got = {tuple(r) for r in contains_aggregate(
+        left, "h", right, "n", [F.sum("v").alias("s"), F.min("v").alias("m")], by=["g"]).select("n", "g", "s", "m").collect()}
+    want = {}
+    for n in set(needles):
+        for h, g, v in hay:
+            if h and n in h:
+                want.setdefault((n, g), []).append(v)
+    assert got == {(n, g, sum(vs), min(vs)) for (n, g), vs in want.items()}
+
+
+def test_a_one_digit_needle_is_no_hot_key(spark):
+    """Each map task sends one row for the needle, however many hold it."""
+    left = spark.range(40_000).selectExpr("concat('ES', lpad(cast(id AS STRING), 6, '1')) AS h", "id AS v").repartition(6)
+    right = spark.createDataFrame([("1",)], "n string")
+    found = contains_aggregate(left, "h", right, "n", [F.sum("v").alias("s"), F.count("*").alias("c")])
+    row = found.first()
+    assert row["c"] > 30_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Partial sums stand before the only exchange by the needle.
+    assert plan.index("partial_sum(v") > plan.index("Exchange hashpartitioning(n")
+    assert "SortMergeJoin [n" not in plan.split("partial_sum(v")[1]
