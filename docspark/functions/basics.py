@@ -138,3 +138,41 @@ def rounded(value: Column, digits: int) -> Column:
 
 def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Places each step of a scan reaches over, and steps: arrays up to 16^7.
+_REACH, _STEPS = 16, 7
+
+
+def prefix_scan(values: Column, combine: Callable[..., Column]) -> Column:
+    """Running totals of an array under an associative ``combine`` that skips
+    nulls, such as ``F.greatest`` or a sum of ``coalesce``d terms.
+
+    A fold that appends to an array copies it for every element. Here each
+    step adds up the totals of sixteen times as many places, and a step longer
+    than the array is skipped, so the work grows as n log n.
+    """
+    def step(at: int, x: Column) -> Column:
+        if at == _STEPS:
+            return x
+        stride = _REACH ** at
+        wider = F.transform(x, lambda v, i: combine(
+            v, *[F.get(x, i - k * stride) for k in range(1, _REACH)]))
+        return F.when(F.size(x) <= stride, x).otherwise(let(wider, lambda y: step(at + 1, y)))
+
+    return let(values, lambda x: step(0, x))
+
+
+def prefix_sums(values: Column) -> Column:
+    def add(first: Column, *others: Column) -> Column:
+        total = first
+        for other in others:
+            total = total + F.coalesce(other, F.lit(0))
+        return total
+
+    return prefix_scan(values, add)

@@ -193,3 +193,34 @@ def test_spans_match_plain_loop(spark, tables):
 def test_given_order(spark, tables):
     found = search.in_given_order(tables.documents("id", "doc_type"), [42, 7, 99, 3])
     assert [(r.id, r.rank) for r in found.collect()] == [(42, 1), (7, 2), (99, 3), (3, 4)]
+
+
+def test_prefix_scans(spark):
+    import itertools
+
+    from docspark.functions.basics import prefix_scan, prefix_sums
+
+    for n in (0, 1, 7, 8, 9, 64, 65, 1000):
+        xs = [(i * 37) % 11 - 3 for i in range(n)]
+        holes = [x if i % 3 == 1 else None for i, x in enumerate(xs)]
+        frame = spark.createDataFrame([(xs, holes)], "x array<int>, h array<int>")
+        row = frame.select(prefix_sums(F.col("x")).alias("s"), prefix_scan(F.col("h"), F.greatest).alias("m")).first()
+        assert row["s"] == list(itertools.accumulate(xs))
+        best, want = None, []
+        for h in holes:
+            best = h if best is None else best if h is None else max(best, h)
+            want.append(best)
+        assert row["m"] == want
+
+
+def test_spans_of_very_many_matches(spark):
+    import time
+
+    body = " ".join(f"ES{i % 10 ** 6:06d} TS-IN{chr(65 + i % 26)} P/N AB{i:05d}" for i in range(70_000))
+    frame = spark.createDataFrame([(body,)], "t string").select(F.explode(annotate_spans()("t")).alias("s"))
+    start = time.perf_counter()
+    got = [tuple(r["s"]) for r in frame.collect()]
+    assert time.perf_counter() - start < 60
+    small = " ".join(body.split(" ")[:40])
+    assert got[:len(find_spans(small))] == find_spans(small) and len(got) == 210_000
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
