@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions.basics import prefix_sums
+from docspark.functions.spans import free_of
 from docspark.llm.native_text import let
 from docspark.session import stored
 
@@ -69,26 +71,21 @@ EQUAL_2, EQUAL_3 = 0.0667, 0.0056
 P_BINS = 300
 
 
-def _gaps_and_matches(text: Column, pattern: str) -> tuple[Column, Column]:
-    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, value>> of all matches, in code points."""
-    gaps, found = _gaps_and_matches(text, pattern)
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    """array<struct<start, stop, value>> of all matches, in code points.
+
+    Positions are running sums of the lengths of gaps and matches; no array
+    grows match by match, so a text may hold any number of them.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        span = F.struct(begin.alias("start"), end.alias("stop"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def placed(gaps: Column) -> Column:
+        steps = F.transform(found, lambda v, i: (F.length(F.get(gaps, i)) + F.length(v)).cast("bigint"))
+        return let(prefix_sums(steps), lambda ends: F.transform(found, lambda v, i: F.struct(
+            (F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("stop"), v.alias("value"))))
 
-    some = let(gaps, lambda g: F.aggregate(
-        F.transform(found, lambda v, i: F.struct(F.get(g, i).alias("gap"), v.alias("value"))),
-        start, add, lambda s: s["out"]))
-    return F.when(text.rlike(pattern), some).otherwise(empty)
+    empty = F.array().cast("array<struct<start:bigint,stop:bigint,value:string>>")
+    return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), placed)).otherwise(empty)
 
 
 def _count(token: Column, letter: Column) -> Column:
@@ -160,15 +157,12 @@ def _thresholds(tested: DataFrame) -> DataFrame:
     return ranked.filter(F.col("p_bin") / 10 >= bound).groupBy("length_class").agg(F.min("p_bin").alias("least"))
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (span["start"] < o["stop"]) & (o["start"] < span["stop"]))
-
-
 def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, assign, access, hex, random), arrays of (start, stop, value).
 
-    Whole texts; null counts as empty. `random` never overlaps the other
-    three. Repeated rows are scanned as rows of their own.
+    Whole texts, with any number of matches; null counts as empty. `random`
+    never overlaps the other three. Repeated rows are scanned as rows of their
+    own; an empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(
@@ -178,8 +172,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         "doc_id", assign.alias("assign"), spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"),
         spans(text, TOKEN).alias("token")).withColumn("row", F.expr("uuid()")), "secrets")
     base = F.concat("assign", "access", "hex")
-    tokens = scanned.filter(F.size("token") > 0).select("row", base.alias("base"), F.explode("token").alias("token")).filter(
-        ~_overlaps(F.col("token"), F.col("base"))).select("row", "token", F.col("token.value").alias("value"))
+    tokens = scanned.filter(F.size("token") > 0).select(
+        "row", F.explode(free_of(F.col("token"), base, "stop")).alias("token")).select(
+        "row", "token", F.col("token.value").alias("value"))
     tested = _battery(tokens).withColumns({
         "length_class": _length_class(F.col("n")),
         "p_bin": F.least(F.lit(P_BINS), F.floor(F.col("minus_log_p") * 10)).cast("int")})
