@@ -36,8 +36,9 @@ def _count_if(test: Column) -> Column:
     return F.count_if(test)
 
 
-def global_kpis(docs: DataFrame) -> DataFrame:
-    cells = docs.groupBy("aircraft_registration", "es_reference").agg(
+def kpi_cells(docs: DataFrame) -> DataFrame:
+    """What the global indicators need of each (aircraft, reference)."""
+    return docs.groupBy("aircraft_registration", "es_reference").agg(
         F.count("*").alias("n"),
         _count_if(F.col("status") == "ARCHIVED").alias("archived"),
         _count_if(F.col("status") == "ERROR").alias("errors"),
@@ -46,6 +47,9 @@ def global_kpis(docs: DataFrame) -> DataFrame:
         F.count("embedding").alias("embedded"),
         *_partial("ocr_confidence"), *_partial("classifier_confidence"),
         F.sum(F.col("file_size_kb").cast(_EXACT)).alias("kb"))
+
+
+def kpis_of_cells(cells: DataFrame) -> DataFrame:
     return cells.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_documents"),
         F.coalesce(F.sum("archived"), F.lit(0)).alias("archived"),
@@ -60,6 +64,10 @@ def global_kpis(docs: DataFrame) -> DataFrame:
         F.countDistinct("es_reference").alias("checks"))
 
 
+def global_kpis(docs: DataFrame) -> DataFrame:
+    return kpis_of_cells(kpi_cells(docs))
+
+
 def dashboard_kpis(
     docs: DataFrame, alerts: DataFrame, aircraft: DataFrame
 ) -> DataFrame:
@@ -205,10 +213,18 @@ def anomalies(docs: DataFrame) -> DataFrame:
         _count_if(F.col("needs_review")).alias("needs_review"))
 
 
-def coverage_by_aircraft(docs: DataFrame, aircraft: DataFrame) -> DataFrame:
-    cells = docs.groupBy("aircraft_registration", "doc_type").agg(
+def coverage_cells(docs: DataFrame) -> DataFrame:
+    """What coverage needs of each (aircraft, type)."""
+    return docs.groupBy("aircraft_registration", "doc_type").agg(
         F.count("*").alias("n"), *_partial("ocr_confidence"),
         _count_if(F.col("manually_corrected")).alias("v"))
+
+
+def coverage_by_aircraft(docs: DataFrame, aircraft: DataFrame) -> DataFrame:
+    return coverage_of_cells(coverage_cells(docs), aircraft)
+
+
+def coverage_of_cells(cells: DataFrame, aircraft: DataFrame) -> DataFrame:
     types = cells.agg(F.countDistinct("doc_type").alias("t"))
     mean = F.coalesce(rounded(_merged_mean("ocr_confidence"), 1), F.lit(0.0))
     per_aircraft = cells.filter(F.col("aircraft_registration").isNotNull()).groupBy(

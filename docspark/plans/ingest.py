@@ -15,7 +15,7 @@ from docspark.sources.bindings import Tables
 from docspark.streaming import streams as st
 from docspark.streaming.ledger import dedup_writer, published_rows
 
-BATCHES = 4
+BATCHES = 3
 
 
 def _arriving(t: Tables, docs: DataFrame, folder: str) -> DataFrame:
