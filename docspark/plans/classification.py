@@ -123,6 +123,22 @@ def m06(t: Tables) -> DataFrame:
         rounded(F.col("confidence"), 4).alias("confidence"), "method")
 
 
+_MODEL_CTES = CASCADE_CTES.replace(
+    "coalesce(bypath, byname, label)", "coalesce(bypath, byname, CASE WHEN id % 3 = 0 THEN 'Specs' END, label)").replace(
+    "ELSE RND[s;4] END AS confidence", "WHEN id % 3 = 0 THEN 0.8123::DOUBLE ELSE RND[s;4] END AS confidence").replace(
+    "ELSE 'rules' END AS method", "WHEN id % 3 = 0 THEN 'model' ELSE 'rules' END AS method")
+
+
+# A third of the documents come with a model's answer.
+@plan("m06_classify_cascade_with_model", "WITH " + _MODEL_CTES + CASCADE_SELECT)
+def m06_model(t: Tables) -> DataFrame:
+    rows = _classifier_rows(t).withColumns({
+        "model_type": F.when(F.col("id") % 3 == 0, "Specs"), "model_confidence": F.lit(0.81234)})
+    return rules.classify_cascade(rows, model_type="model_type", model_confidence="model_confidence").select(
+        "id", "predicted_type", "predicted_category",
+        rounded(F.col("confidence"), 4).alias("confidence"), "method")
+
+
 _KW_TYPES = _values((i, n) for i, n in enumerate(fv.KEYWORD_RULES))
 _KW_ROWS = _values(
     [(n, "k", w) for n, r in fv.KEYWORD_RULES.items() for w in r["kw"]]

@@ -26,6 +26,15 @@ def f01(t: Tables) -> DataFrame:
         status="ARCHIVED", needs_review=False).drop("ata_chapter", "status")
 
 
+# The order shows in which rows are the first ones.
+@plan("f01_list_documents_sorted", """
+SELECT id, doc_type, ocr_confidence FROM cat_documents WHERE status = 'ARCHIVED'
+ORDER BY ocr_confidence ASC NULLS LAST, id LIMIT 40""")
+def f01_sorted(t: Tables) -> DataFrame:
+    docs = t.documents("id", "doc_type", "ocr_confidence", "status")
+    return flt.list_documents(docs, status="ARCHIVED", sort="ocr_confidence", descending=False).limit(40).drop("status")
+
+
 @plan("f02_documents_of_aircraft", """
 SELECT id, category, doc_type, created_at FROM cat_documents
 WHERE aircraft_registration ILIKE 'ts-inb' AND category ILIKE '%check%'

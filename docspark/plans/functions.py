@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -552,13 +554,46 @@ def x13_all(t: Tables) -> DataFrame:
         F.array_join(F.col(f"e.{f}"), "|").alias(f) for f in fv.COMPACT_ENTITY_PATTERNS])
 
 
-@plan("x14_annotate_spans")
+def spans_sql(airlines: tuple[str, ...] = ()) -> str:
+    """Common tables up to `spans` (id, start, end, label): per pattern the
+    matches with running sums as places, minus what an earlier one covers."""
+    patterns = [(label, p) for label, many in fv.SPAN_PATTERNS.items() for p in many]
+    if airlines:
+        patterns.append(("AIRLINE", rf"\b({'|'.join(re.escape(a) for a in airlines)})\b"))
+    parts = ["sp_text AS MATERIALIZED (SELECT id, coalesce(ocr_text, '') AS t FROM cat_text)"]
+    before = "SELECT CAST(NULL AS BIGINT) AS id, 0 AS \"start\", 0 AS \"end\", '' AS label WHERE false"
+    parts.append(f"sp_taken0 AS MATERIALIZED ({before})")
+    for k, (label, pattern) in enumerate(patterns, 1):
+        rx = _q(f"(?i){pattern}")
+        parts.append(f"""sp_cand{k} AS MATERIALIZED (SELECT id, e - length(g) AS "start", e AS "end", {_q(label)} AS label FROM (
+  SELECT id, g, CAST(sum(length(s) + length(m)) OVER (PARTITION BY id ORDER BY i) AS INT) AS e FROM (
+    SELECT id, unnest(m) AS m, unnest(g) AS g, unnest(s[1:len(m)]) AS s, unnest(range(len(m))) AS i FROM (
+      SELECT id, regexp_extract_all(t, {rx}, 0) AS m, regexp_extract_all(t, {rx}, 1) AS g, regexp_split_to_array(t, {rx}) AS s
+      FROM sp_text WHERE regexp_matches(t, {rx}))))),
+sp_taken{k} AS MATERIALIZED (SELECT * FROM sp_taken{k - 1} UNION ALL SELECT * FROM sp_cand{k} c WHERE NOT EXISTS (
+  SELECT 1 FROM sp_taken{k - 1} o WHERE o.id = c.id AND o."start" < c."end" AND c."start" < o."end"))""")
+    parts.append(f"spans AS (SELECT * FROM sp_taken{len(patterns)})")
+    return ",\n".join(parts)
+
+
+@plan("x14_annotate_spans", "WITH " + spans_sql() + ' SELECT id, "start", "end", label FROM spans')
 def x14(t: Tables) -> DataFrame:
     spans = t.text("id", "ocr_text").select(
         "id", F.explode(annotate_spans()("ocr_text")).alias("s"))
     return spans.select("id", "s.start", "s.end", "s.label")
 
 
+# Words of the given texts stand in for operator names.
+_AIRLINES = ("MSN", "WORK ORDER", "DATE")
+
+
+@plan("x14_annotate_spans_airlines", "WITH " + spans_sql(_AIRLINES) + " SELECT id, \"start\", \"end\" FROM spans WHERE label = 'AIRLINE'")
+def x14_airlines(t: Tables) -> DataFrame:
+    spans = t.text("id", "ocr_text").select(
+        "id", F.explode(annotate_spans(_AIRLINES)("ocr_text")).alias("s"))
+    return spans.filter("s.label = 'AIRLINE'").select("id", "s.start", "s.end")
+
+
 _MSN_JSON = "coalesce(" + ", ".join(
     f"CASE WHEN regexp_full_match(trim(json_extract_string(extracted_entities, '$.{k}')), '\\d{{3,5}}') "
     f"THEN trim(json_extract_string(extracted_entities, '$.{k}')) END" for k in fv.MSN_ENTITY_KEYS) + ")"

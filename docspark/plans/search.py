@@ -152,6 +152,47 @@ def r05(t: Tables) -> DataFrame:
         "matched_entities", "snippet")
 
 
+def _bonus_sql(query: str, points: float, bonus: str, matched: str, extra: str = "") -> str:
+    """Hybrid search for a query of one spelling, with its bonus."""
+    test = " OR ".join(f"{c} ILIKE '%{query}%'" for c in search.SEARCH_COLUMNS)
+    return f"""
+WITH qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 5),
+fts AS (SELECT id, {points}::DOUBLE AS fts FROM cat_text WHERE ({test}) {extra}),
+sim0 AS (SELECT id, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS sim
+  FROM cat_documents, qv WHERE embedding IS NOT NULL),
+sem AS (SELECT id, sim FROM (SELECT * FROM sim0 ORDER BY sim DESC, id LIMIT 60) WHERE sim > 0.3),
+h AS (SELECT coalesce(f.id, s.id) AS id, coalesce(f.fts, 0) AS fts, coalesce(s.sim, 0) AS sem FROM fts f FULL JOIN sem s ON s.id = f.id)
+SELECT d.id, RND[least(1.0, 0.5 * h.fts + 0.5 * h.sem + {bonus} + CASE WHEN d.ocr_confidence > 90 THEN {fv.HYBRID_WEIGHTS['ocr']} ELSE 0 END)::DOUBLE;4] AS score,
+  RND[h.fts;4] AS fts_score, RND[h.sem;4] AS semantic_score, {matched} AS matched FROM h JOIN cat_text d ON d.id = h.id"""
+
+
+def _bonus(t: Tables, query: str, **options) -> DataFrame:
+    found = search.hybrid_search(t.text(*_DOC_FIELDS, "embedding"), query, question_vector(t), limit=20, **options)
+    return found.select(
+        "id", "score", "fts_score", "semantic_score", F.array_join("matched_entities", "|").alias("matched"))
+
+
+_PLANE = "upper(d.aircraft_registration) = 'TS-INC'"
+
+
+@plan("r05_hybrid_search_aircraft", _bonus_sql(
+    "TS-INC", 0.7,
+    f"CASE WHEN {_PLANE} THEN {fv.HYBRID_WEIGHTS['aircraft']} ELSE 0 END + CASE WHEN contains(lower(d.doc_type), 'work order') THEN {fv.HYBRID_WEIGHTS['type']} ELSE 0 END",
+    f"CASE WHEN {_PLANE} THEN 'Avion: ' || d.aircraft_registration ELSE '' END", "AND upper(doc_type) = 'WORK ORDER'"))
+def r05_aircraft(t: Tables) -> DataFrame:
+    return _bonus(t, "TS-INC", doc_type="work order")
+
+
+_CHAPTER = "contains(d.ata_chapter, '27')"
+
+
+@plan("r05_hybrid_search_chapter", _bonus_sql(
+    "ATA 27", 0.7, f"CASE WHEN {_CHAPTER} THEN {fv.HYBRID_WEIGHTS['ata']} ELSE 0 END",
+    f"CASE WHEN {_CHAPTER} THEN 'ATA: ' || d.ata_chapter ELSE '' END"))
+def r05_chapter(t: Tables) -> DataFrame:
+    return _bonus(t, "ATA 27")
+
+
 @plan("r06_snippet", _HYBRID_SQL + " SELECT id, snippet FROM res")
 def r06(t: Tables) -> DataFrame:
     return _hybrid(t).select("id", "snippet")

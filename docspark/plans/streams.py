@@ -10,7 +10,7 @@ from docspark.functions.entities import ENTITY_FIELDS
 from docspark.functions.spans import annotate_spans
 from docspark.functions.sql import register_sql_functions
 from docspark.plans.classification import CASCADE_CTES, CASCADE_SELECT
-from docspark.plans.functions import _ATA_CASE, ENTITIES_SQL
+from docspark.plans.functions import _ATA_CASE, ENTITIES_SQL, spans_sql
 from docspark.plans.maintenance import ALERTS_SQL, c10
 from docspark.plans.registry import plan
 from docspark.session import scratch_path
@@ -134,7 +134,7 @@ def t08(t: Tables) -> DataFrame:
         F.from_json("value", schema).alias("m")).select("m.*")
 
 
-@plan("g02_span_rows")
+@plan("g02_span_rows", "WITH " + spans_sql() + " SELECT label, count(*) AS spans FROM spans GROUP BY label")
 def g02(t: Tables) -> DataFrame:
     spans = t.text("id", "ocr_text").select(
         "id", F.explode(annotate_spans()("ocr_text")).alias("s"))
