@@ -67,7 +67,7 @@ class VectorIndex:
         widths = points.filter(proper).groupBy(F.size("embedding").alias("w")).count()
         top = widths.orderBy(F.desc("count"), F.desc("w")).first()
         width, n = (top["w"], top["count"]) if top else (0, 0)
-        lists = lists or max(1, min(MOST_LISTS, round(math.sqrt(n))))
+        lists = max(2, lists or min(MOST_LISTS, round(math.sqrt(n))))
         listed = points.filter(proper & (F.size("embedding") == width))
         placed = points.withColumn("list", F.lit(UNLISTED)).withColumn("angle", F.lit(0.0)).limit(0)
         centroids = np.zeros((0, width))
