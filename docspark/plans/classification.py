@@ -15,6 +15,7 @@ from docspark.operators import rules, training
 from docspark.operators.filters import training_rows
 from docspark.plans.functions import PROFILE_SQL, _q, _values
 from docspark.plans.registry import plan
+from docspark.session import stored
 from docspark.sources.bindings import Tables
 
 _PATH_CASE = " ".join(
@@ -180,11 +181,15 @@ def _labelled(t: Tables) -> DataFrame:
     return ev.stratified_split(training_rows(docs), "doc_type")
 
 
+#: The most frequent words and pairs of words, as many as the described model.
+_TERMS = {"hashed": False, "vocabulary": 50_000}
+
+
 def _evaluated(t: Tables, **options) -> DataFrame:
     rows = _labelled(t)
     if options.get("with_entities"):
         rows = training.with_entity_vector(rows)
-    model = training.train_text_classifier(rows.filter(~F.col("is_test")), **options)
+    model = training.train_text_classifier(rows.filter(~F.col("is_test")), **_TERMS, **options)
     return training.predict(model, rows.filter("is_test"))
 
 
@@ -195,18 +200,18 @@ def _scored(predictions: DataFrame) -> DataFrame:
 
 @plan("m08_train_text_classifier")
 def m08(t: Tables) -> DataFrame:
-    return ev.classification_metrics(_scored(_evaluated(t, iterations=10)))
+    return ev.classification_metrics(_scored(_evaluated(t)))
 
 
 @plan("m09_train_linear_svc")
 def m09(t: Tables) -> DataFrame:
     return ev.classification_metrics(
-        _scored(_evaluated(t, linear_svc=True, iterations=5, ngrams=1)))
+        _scored(_evaluated(t, linear_svc=True)))
 
 
 @plan("m10_train_entity_augmented")
 def m10(t: Tables) -> DataFrame:
-    found = _evaluated(t, with_entities=True, iterations=10)
+    found = _evaluated(t, with_entities=True)
     return training.override_by_filename(found).groupBy("method", "predicted").agg(
         F.count("*").alias("documents"))
 
@@ -214,14 +219,14 @@ def m10(t: Tables) -> DataFrame:
 @plan("m12_reclassify_other")
 def m12(t: Tables) -> DataFrame:
     docs = t.text("id", "doc_type", "ocr_text")
-    model = training.train_text_classifier(
-        training_rows(docs), iterations=10, ngrams=1)
+    model = training.train_text_classifier(training_rows(docs), **_TERMS)
     return training.reclassify_other(model, docs, min_confidence=0.70)
 
 
 @plan("m18_compare_models")
 def m18(t: Tables) -> DataFrame:
-    model = _evaluated(t, iterations=10, ngrams=1)
+    # Both sides of the comparison read the predictions.
+    model = stored(_evaluated(t), "predictions")
     keywords = rules.with_keyword_class(model.drop("predicted", "probability"))
     return ev.compare_models({
         "keywords": keywords.select(
