@@ -5,9 +5,11 @@ a query the vector of its terms' weights, and the score their inner product.
 Documents are first reduced to the terms that queries ask for and written as
 postings; corpus statistics come from all of them. Each task then groups the
 documents of a batch into a ball tree. A subtree with centroid c and radius r
-holds no score above q.c + |q| r. The bound is taken per group of terms (the
-most frequent terms are groups of their own), which is the same inequality in
-each subspace and much tighter for sparse queries. Bounds are floating point
+holds no score above q.c + |q| r. The bound is taken per group of terms (each
+of the most frequent terms is a group of its own, the others share some),
+which is the same inequality in each subspace and much tighter for sparse
+queries: with one ball for all terms no subtree could be left out. Bounds are
+floating point
 and rounded up by more than their error; subtrees are visited best first, and
 pruned only strictly below the k-th score, so ties by id stay exact. Leaves
 are scored in integers.
@@ -28,17 +30,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewords import ALPHANUMERIC, Words, chunks
+from docspark.llm.bytewords import ALPHANUMERIC, Words, chunks, small_batches
 from docspark.session import stored
 
 #: Terms of the queries of one block, repeats among queries included.
 BLOCK_TERMS = 8192
-LEAF = 32
+LEAF = 8
+#: Documents of one tree.
+TREE_DOCS = 4096
 #: Groups of terms with a radius each; the first `OWN` hold one term.
-GROUPS, OWN = 128, 96
+GROUPS, OWN = 2048, 2000
 SKETCH = 16
-#: Relative and absolute rise of a bound, far above its rounding error.
-RELATIVE, ABSOLUTE = 1e-9, 1.0
+#: Relative and absolute rise of a bound, far above the rounding error of
+#: single-precision centroids and radii.
+RELATIVE, ABSOLUTE = 1e-5, 1.0
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -149,30 +154,60 @@ class BallTree:
 
     def _measure(self, point: np.ndarray, group: np.ndarray, doc: np.ndarray) -> None:
         nodes, v = len(self.start), len(self.here)
-        self.centroid = np.zeros((nodes, v))
-        self.radius = np.zeros((nodes, GROUPS))
-        cell = doc * GROUPS + group[self.term]
-        for k in range(nodes):
+        start, end, left = (np.array(x) for x in (self.start, self.end, self.left))
+        # Sum, least and largest coordinate per term: of leaves from their
+        # documents, of the others from their halves. Halves come later.
+        leaves = np.flatnonzero(left < 0)
+        order = leaves[np.argsort(start[leaves])]
+        leaf = order[np.searchsorted(start[order], doc, side="right") - 1]
+        cell = leaf * v + self.term
+        self.centroid = np.bincount(cell, point, nodes * v).reshape(nodes, v).astype(np.float32)
+        met = np.bincount(cell, minlength=nodes * v)
+        most, least = np.zeros(nodes * v, dtype=np.float32), np.full(nodes * v, np.inf, dtype=np.float32)
+        np.maximum.at(most, cell, point.astype(np.float32))
+        np.minimum.at(least, cell, point.astype(np.float32))
+        # A document without the term has 0 there.
+        least[met < np.repeat(end - start, v)] = 0
+        most, least = most.reshape(nodes, v), least.reshape(nodes, v)
+        for k in range(nodes - 1, -1, -1):
+            if left[k] >= 0:
+                a, b = left[k], left[k] + 1
+                self.centroid[k] = self.centroid[a] + self.centroid[b]
+                np.maximum(most[a], most[b], out=most[k])
+                np.minimum(least[a], least[b], out=least[k])
+        self.centroid /= (end - start)[:, None].astype(np.float32)
+        self.radius = np.zeros((nodes, GROUPS), dtype=np.float32)
+        alone = np.flatnonzero(group < OWN)
+        self.radius[:, group[alone]] = np.maximum(
+            most[:, alone] - self.centroid[:, alone], self.centroid[:, alone] - least[:, alone])
+        shared = np.flatnonzero(group[self.term] >= OWN)
+        if len(shared):
+            self._measure_shared(point[shared], self.term[shared], group, doc[shared])
+
+    def _measure_shared(self, point: np.ndarray, term: np.ndarray, group: np.ndarray, doc: np.ndarray) -> None:
+        """Radii of the groups of several terms, from every document below."""
+        n_groups, tail = GROUPS - OWN, group >= OWN
+        slot = doc * n_groups + group[term] - OWN
+        for k in range(len(self.start)):
             a, b = self.start[k], self.end[k]
-            part = slice(self.bounds[a], self.bounds[b])
-            t, p = self.term[part], point[part]
-            c = np.bincount(t, p, v) / (b - a)
-            cross = 2 * p * c[t]
-            slot, n = cell[part] - a * GROUPS, (b - a) * GROUPS
-            own = np.bincount(group, c * c, GROUPS)
-            square = np.bincount(slot, p * p - cross, n).reshape(-1, GROUPS) + own
-            size = np.bincount(slot, p * p + cross, n).reshape(-1, GROUPS) + own
-            self.centroid[k] = c
-            self.radius[k] = np.sqrt(np.maximum(0, square + 1e-11 * size).max(axis=0))
+            part = slice(*np.searchsorted(doc, [a, b]))
+            c = self.centroid[k].astype(np.float64)
+            p, cross, n = point[part], 2 * point[part] * c[term[part]], (b - a) * n_groups
+            at = slot[part] - a * n_groups
+            own = np.bincount(group[tail] - OWN, c[tail] ** 2, n_groups)
+            square = np.bincount(at, p * p - cross, n).reshape(-1, n_groups) + own
+            size = np.bincount(at, p * p + cross, n).reshape(-1, n_groups) + own
+            self.radius[k, OWN:] = np.sqrt(np.maximum(0, square + 1e-11 * size).max(axis=0))
 
     def ceilings(self, numbers: np.ndarray, root: np.ndarray, group: np.ndarray) -> np.ndarray:
         """For each node, a number no score of the query below it exceeds."""
         at = np.searchsorted(self.here, numbers)
         at[at == len(self.here)] = 0
         held = self.here[at] == numbers
-        inner = self.centroid[:, at[held]] @ root[numbers[held]]
-        length = np.sqrt(np.bincount(group[numbers], root[numbers] ** 2, GROUPS))
-        return (inner + self.radius @ length) * (1 + RELATIVE) + ABSOLUTE
+        inner = self.centroid[:, at[held]].astype(np.float64) @ root[numbers[held]]
+        groups, slot = np.unique(group[numbers], return_inverse=True)
+        length = np.sqrt(np.bincount(slot, root[numbers] ** 2))
+        return (inner + self.radius[:, groups].astype(np.float64) @ length) * (1 + RELATIVE) + ABSOLUTE
 
     def scores(self, leaf: int, weight_here: np.ndarray) -> np.ndarray:
         a, b = self.start[leaf], self.end[leaf]
@@ -303,9 +338,18 @@ def lexical_search(
     terms and count nowhere. An empty table gives no rows. Other columns of
     both tables are not read. Words are told apart by 64-bit hashes.
     """
+    with small_batches(docs.sparkSession, TREE_DOCS):
+        found = _candidates(docs, benchmark, k, block_terms)
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+        "item_id", "rank", "doc_id", "score")
+
+
+def _candidates(docs: DataFrame, benchmark: DataFrame, k: int, block_terms: int) -> DataFrame:
+    """(item_id, doc_id, score): the k best of every task."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found: DataFrame | None = None
+    found = spark.createDataFrame([], "item_id long, doc_id long, score long")
     for queries in _query_blocks(benchmark, block_terms):
         postings = stored(rows.mapInArrow(_postings(spark.sparkContext.broadcast(queries)), POSTINGS), "postings")
         totals = postings.agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
@@ -316,13 +360,10 @@ def lexical_search(
             frequency[r["t"]] = r["count"]
         weight = np.array([math.floor(1000 * math.log((2 * totals["docs"] + 2) / (2 * int(f) + 1))) for f in frequency], dtype=np.int64)
         shared = spark.sparkContext.broadcast((queries, np.maximum(weight, 0), frequency, totals["docs"], totals["terms"]))
+        # Written here: a tree holds one Arrow batch, whose size is set now.
         part = postings.filter(F.size("terms") > 0).mapInArrow(_search(shared, k), "item_id long, doc_id long, score long")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "item_id", "rank", "doc_id", "score")
+        found = found.union(stored(part, "candidates"))
+    return found
 
 
 SQL = r"""

@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -117,16 +118,28 @@ def test_bounds_hold_for_every_subtree():
             assert exact[tree.order[tree.start[node]:tree.end[node]]].max() <= ceiling[node]
 
 
-def test_search_prunes():
-    """Near copies of the query sit in few leaves; the rest is not scored."""
-    bounds, term, value, weight, group = random_tree(n=4000)
-    tree = bts.BallTree(bounds, term, value, weight, group)
-    numbers = term[bounds[7]:bounds[8]]
-    best, root = bts.Best(1), np.sqrt(weight.astype(float))
-    doc, null = np.arange(4000), np.zeros(4000, dtype=bool)
-    scored = bts._search_tree(tree, doc, null, numbers, weight, root, group, best)
+def test_search_prunes_given_documents(spark):
+    """For the best 50 of the given documents most leaves are not scored."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    number = {t: i for i, t in enumerate(sorted({t for _, x in items for t in split(x)}))}
+    bags = [{t: c for t, c in Counter(split(x)).items() if t in number} for _, x in docs]
+    bags = [b for b in bags if b]
+    sizes = np.array([len(b) for b in bags])
+    term = np.array([number[t] for b in bags for t in sorted(b, key=number.get)])
+    count = np.array([b[t] for b in bags for t in sorted(b, key=number.get)])
+    df = np.bincount(term, minlength=len(number))
+    weight = np.array([math.floor(1000 * math.log((2 * len(docs) + 2) / (2 * int(d) + 1))) for d in df])
+    value = bts.saturated(count, np.repeat(sizes, sizes), len(docs), int(sizes.sum()))
+    group, root = bts._groups(df), np.sqrt(weight.astype(float))
+    tree = bts.BallTree(np.append(0, np.cumsum(sizes)), term, value, weight, group)
     leaves = sum(c < 0 for c in tree.left)
-    assert 0 < scored < leaves
+    ids, null = np.arange(len(bags)), np.zeros(len(bags), dtype=bool)
+    scored = []
+    for _, text in items:
+        numbers = np.array(sorted({number[t] for t in split(text)}))
+        scored.append(bts._search_tree(tree, ids, null, numbers, weight, root, group, bts.Best(10)))
+    assert np.mean(scored) < 0.8 * leaves
 
 
 def test_long_documents_do_not_overflow():
