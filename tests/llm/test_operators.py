@@ -561,3 +561,14 @@ def test_cut_does_not_depend_on_blocks(spark):
 
 def test_html_unescape_is_whole():
     assert html_text.blocks_of("<article>&lt;p&gt; &#233;&eacute;</article>") == [(html_text.MAIN, html.unescape("&lt;p&gt; éé"))]
+
+
+def test_topics_of_an_article_are_no_chrome():
+    """Class names that say what an article is about don't take its text."""
+    for opening, closing in (
+            ('<article class="post category-notice">', "</article>"), ('<main class="site search-results">', "</main>"),
+            ('<div class="post-body tag-social">', "</div>"), ('<article class="entry cat-comment topic-ads">', "</article>")):
+        page = f'<body><nav>menu</nav>{opening}<h1>Title</h1><p>The text.</p><div class="comments">c</div>{closing}<footer>f</footer></body>'
+        assert [x for z, x in html_text.blocks_of(page) if z == html_text.MAIN] == ["Title", "The text."]
+    page = '<body><div class="tag-list sidebar"><p>links</p></div><div class="post-comments"><p>c</p></div></body>'
+    assert not [x for z, x in html_text.blocks_of(page) if z == html_text.MAIN]
