@@ -8,11 +8,10 @@ documents of a batch into a ball tree. A subtree with centroid c and radius r
 holds no score above q.c + |q| r. The bound is taken per group of terms (each
 of the most frequent terms is a group of its own, the others share some),
 which is the same inequality in each subspace and much tighter for sparse
-queries: with one ball for all terms no subtree could be left out. Bounds are
-floating point
-and rounded up by more than their error; subtrees are visited best first, and
-pruned only strictly below the k-th score, so ties by id stay exact. Leaves
-are scored in integers.
+queries; with few groups next to no subtree is left out. Bounds are floating
+point and rounded up by more than their error; subtrees are visited best
+first, and pruned only strictly below the k-th score, so ties by id stay
+exact. Leaves are scored in integers.
 
 Each task hands on at most k documents a query; Spark merges them. Queries
 come in blocks of at most about `BLOCK_TERMS` terms, one pass each, so what is
