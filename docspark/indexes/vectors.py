@@ -18,6 +18,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docspark.functions.vectors import cosine_literal, dot, norm
-from docspark.session import scratch_path
+from docspark.session import scratch_path, stored
 
 SAMPLE_PER_LIST = 256
 MOST_LISTS = 4096
@@ -33,6 +34,11 @@ MOST_LISTS = 4096
 SLACK = 1e-6
 #: Rows without a direction or of another width; every search reads them.
 UNLISTED = -1
+#: Queries and rows that meet in one group of a batch search, and the queries
+#: multiplied at once there; a batch has at most so many tasks.
+GROUP_QUERIES, GROUP_ROWS, CHUNK_QUERIES, MOST_TASKS = 2048, 16_384, 256, 2000
+#: Products added in another order differ by less.
+ROUNDING = 1e-9
 
 
 def _finite(vector: str) -> Column:
@@ -169,23 +175,20 @@ class VectorIndex:
         of `queries` (query_id, vector), by similarity rounded to `digits`,
         then id; exactly, or among the `probes` nearest lists.
 
-        Queries meet lists by the number of a list, never all rows. Without
-        `probes` a second round reads, for each query, the lists whose bound
-        reaches its k-th similarity.
+        Blocks of queries meet blocks of rows, and a block of queries multiplies
+        only the lists one of them needs. Without `probes` a second round
+        reads, for each query, the lists whose bound reaches its k-th
+        similarity; vectors without clusters need nearly all, so the products
+        grow with queries times rows, in tasks of bounded size.
         """
-        far = self._turns(queries).withColumn("bound", F.cos(F.greatest(
-            F.lit(0.0), F.col("far") - F.col("radius"))) + 10.0 ** -digits + SLACK)
         usable = self._usable(queries)
         start = max(1, probes or math.ceil(math.sqrt(len(self.numbers))))
-        everywhere = usable.select("query_id", "vector", "_norm", F.lit(UNLISTED).alias("list"))
-        asked = far.filter(F.col("turn") <= start).select("query_id", "vector", "_norm", "list").union(everywhere)
-        found = self._similar(asked, k, digits)
+        wanted = usable.withColumns({"n": F.lit(0).cast("long"), "least": F.lit(None).cast("double")})
+        found = stored(self._similar(wanted, k, digits, 0, start), "nearest")
         if probes is None:
             kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("least"))
-            more = far.filter(F.col("turn") > start).join(kth, "query_id", "left").filter(
-                (F.coalesce("n", F.lit(0)) < k) | (F.col("bound") >= F.col("least")))
-            rest = self._similar(more.select("query_id", "vector", "_norm", "list"), k, digits)
-            found = found.union(rest)
+            more = usable.join(kth, "query_id", "left")
+            found = found.union(self._similar(more, k, digits, start, len(self.numbers)))
         rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
         return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(
             "query_id", "rank", "id", "similarity")
@@ -218,14 +221,119 @@ class VectorIndex:
                 return max(1, r["turn"])
         return 1
 
-    def _similar(self, asked: DataFrame, k: int, digits: int) -> DataFrame:
-        product = dot(F.col("embedding"), F.col("vector"))
-        value = F.try_divide(product, norm(F.col("embedding")) * F.col("_norm"))
-        scored = asked.join(self.rows.select("id", "embedding", "list"), "list").select(
-            "query_id", "id", F.round(value.cast("decimal(28,10)"), digits).cast("double").alias("similarity")).filter(
-            F.col("similarity").isNotNull())
-        turn = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return scored.withColumn("_t", F.row_number().over(turn)).filter(F.col("_t") <= k).drop("_t")
+    def _similar(self, queries: DataFrame, k: int, digits: int, above: int, upto: int) -> DataFrame:
+        """(query_id, id, similarity) of the k best rows of each query, and
+        more, among the lists of turns `above` < turn <= `upto`. A query that
+        has `n` >= k rows already asks only the lists that can hold one of a
+        similarity of `least`."""
+        spark, rows = self.spark, self.rows.filter(F.col("list") != UNLISTED)
+        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, value double"
+        # Stretches of lists; one that holds very many rows is cut by the id.
+        cuts = np.maximum(1, -(-self.sizes // GROUP_ROWS))
+        first = (np.cumsum(self.sizes) - self.sizes) // GROUP_ROWS
+        parts = int((first + cuts).max(initial=0))
+        dealt = spark.createDataFrame(
+            [tuple(map(int, x)) for x in zip(self.numbers, first, cuts, strict=True)], "list int, first int, cuts int")
+        blocks = max(1, -(-queries.count() // GROUP_QUERIES))
+        tasks = min(MOST_TASKS, 4 * blocks * max(1, parts))
+        asked = queries.select(
+            "query_id", F.col("vector").cast("array<double>").alias("vector"), "n", "least",
+            F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)).cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.lit(max(0, parts - 1)))).alias("part"))
+        held = rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("list").cast("int").alias("list")).join(
+            F.broadcast(dealt), "list").select(
+            "id", "embedding", "list", (F.col("first") + F.pmod(F.xxhash64("id", "embedding"), F.col("cuts"))).cast("int").alias("part"),
+            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        shared = spark.sparkContext.broadcast((self.numbers, self.radius, self.centroids))
+        found = asked.repartition(tasks, "block", "part").groupBy("block", "part").cogroup(
+            held.repartition(tasks, "block", "part").groupBy("block", "part")).applyInArrow(
+            _best_pairs(shared, k, digits, above, upto), kinds)
+        return found.select("query_id", "id", F.round(F.col("value").cast("decimal(28,10)"), digits).cast("double").alias("similarity"))
+
+
+def _matrix(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows, -1)
+
+
+def _summed(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows i of `a` and j of `b`, added up in the order of `dot`."""
+    out = np.zeros(len(i))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x[i] * y[j]
+    return out
+
+
+def _asked_lists(shared, q: np.ndarray, size: np.ndarray, n: np.ndarray, least: np.ndarray, k: int, digits: int, above: int, upto: int):
+    """Which of the index's lists each query asks."""
+    _, radius, centroids = shared
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cosine = np.nan_to_num(q @ centroids.T / (size[:, None] * np.linalg.norm(centroids, axis=1)))
+    far = np.arccos(np.clip(cosine, -1, 1))
+    turn = np.empty(far.shape, dtype=np.intp)
+    np.put_along_axis(turn, np.argsort(far, axis=1, kind="stable"), np.arange(1, far.shape[1] + 1)[None, :], axis=1)
+    bound = np.cos(np.maximum(0, far - radius)) + 10.0 ** -digits + SLACK
+    return (turn > above) & (turn <= upto) & ((n < k)[:, None] | (bound >= least[:, None]))
+
+
+def _kth_best(query: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Which candidates can be among the k best of their query: those not
+    behind k others, whatever the values between `low` and `high` are."""
+    order = np.lexsort((place, -low, query))
+    sorted_query = query[order]
+    start = np.searchsorted(sorted_query, sorted_query)
+    pivot = order[np.minimum(start + k - 1, np.searchsorted(sorted_query, sorted_query, side="right") - 1)]
+    kept = np.empty(len(query), dtype=bool)
+    few = np.searchsorted(sorted_query, sorted_query, side="right") - start <= k
+    kept[order] = few | (high[order] > low[pivot]) | ((high[order] == low[pivot]) & (place[order] <= place[pivot]))
+    return kept
+
+
+def _best_pairs(shared, k: int, digits: int, above: int, upto: int):
+    """(query_id, id, value) of one block of queries with one of rows: the k
+    best of each query by rounded similarity, then id, and rows that rounding
+    could bring among them."""
+    unit, near = 10.0 ** digits, ROUNDING * 10.0 ** digits
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id") if len(rows) else rows
+        names = ["query_id", "id", "value"]
+        parts = [(queries.column("query_id").slice(0, 0), rows.column("id").slice(0, 0), pa.array([], pa.float64()))]
+        if len(queries) and len(rows):
+            q, e = _matrix(queries.column("vector"), len(queries)), _matrix(rows.column("embedding"), len(rows))
+            every = np.arange(max(len(q), len(e)))
+            q_size, e_size = (np.sqrt(_summed(m, every[:len(m)], m, every[:len(m)])) for m in (q, e))
+            count = np.nan_to_num(queries.column("n").to_numpy(zero_copy_only=False).astype(float))
+            least = queries.column("least").to_numpy(zero_copy_only=False).astype(float)
+            asked = _asked_lists(shared.value, q, q_size, count, least, k, digits, above, upto)
+            listed = np.searchsorted(shared.value[0], rows.column("list").to_numpy())
+            lists = np.unique(listed)
+            needed = np.flatnonzero(asked[:, lists].any(axis=1))
+            for at in range(0, len(needed), CHUNK_QUERIES):
+                some = needed[at:at + CHUNK_QUERIES]
+                # Rows of lists that none of these queries asks are not multiplied.
+                mine = np.flatnonzero(asked[some].any(axis=0)[listed])
+                s = q[some] @ e[mine].T
+                s /= q_size[some][:, None]
+                s /= e_size[mine]
+                # Lengths beyond the range of doubles.
+                s[np.isnan(s)] = -np.inf
+                if not asked[np.ix_(some, lists)].all():
+                    s[~asked[some][:, listed[mine]]] = -np.inf
+                floor = np.full(len(some), -2.0)
+                if len(mine) > k:
+                    floor = np.maximum(floor, np.partition(s, len(mine) - k, axis=1)[:, len(mine) - k])
+                known = count[some] >= k
+                floor[known] = np.maximum(floor[known], least[some][known])
+                i, j = np.nonzero(s >= (floor - 2 / unit - 2 * ROUNDING)[:, None])
+                scaled = s[i, j] * unit
+                best = _kth_best(i, np.floor(scaled - near + .5), np.floor(scaled + near + .5), mine[j], k)
+                i, j = some[i[best]], mine[j[best]]
+                value = _summed(q, i, e, j) / (e_size[j] * q_size[i])
+                parts.append((queries.column("query_id").take(i), rows.column("id").take(j), pa.array(value)))
+        return pa.concat_tables([pa.table(dict(zip(names, p, strict=True))) for p in parts])
+
+    return run
 
 
 def _placed(model: KMeansModel, points: DataFrame, centroids: np.ndarray) -> DataFrame:
