@@ -9,10 +9,10 @@ that list; it is written once and everything after reads it.
   blocks and answers each block, so a word costs one entry per block that has
   it, however often it occurs.
 * The model predicts symbols: the most frequent ids have one each, the others
-  share symbols by bands of equal mass and are told apart by their counts. In
-  each round one window in `SHARE` of the training documents, whatever the
-  size of the corpus, is dealt to tasks of about `TASK_WINDOWS` windows, which
-  train from the same parameters; Spark averages what they find.
+  share symbols by bands of equal mass and are told apart by their counts.
+  Every training document belongs to one of the rounds, so each of its windows
+  is trained on once. A round is dealt to tasks of about `TASK_WINDOWS`
+  windows, which train from the same parameters; Spark averages what they find.
 * Scoring goes over overlapping windows, so every token is scored once.
 
 What reaches the driver or is broadcast is bounded by the vocabulary of the
@@ -42,9 +42,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SYMBOLS, SHARED = 1024, 32
 END = 0
-SHARE = 64
 #: Learning rate of each round.
 RATES = (1e-2, 1e-2, 5e-3, 2e-3)
+#: A round takes one training document in so many: each is in one round.
+SHARE = len(RATES)
+#: Windows of one step of the optimiser.
+BATCH = 256
 #: Distinct words of all blocks that one shard holds, on average.
 SHARD_WORDS = 1_000_000
 #: What each kind of symbol pair gives to those not seen.
@@ -257,13 +260,14 @@ class Symbols:
         return cls(of_id, np.log(share))
 
 
-def _pairs_and_windows(shared, share: int, rounds: int):
-    """Rows (cell, n) of symbol pairs, and rows (round, n, inputs, targets)."""
+def _pairs_and_rounds(shared, share: int, rounds: int):
+    """Rows (cell, n) of symbol pairs, and rows (round, n, sizes, sequence):
+    the documents of a block that a round trains on, and their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols: Symbols = shared.value
         pairs = np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
-        names = ["cell", "n", "round", "inputs", "targets"]
+        names = ["cell", "n", "round", "sizes", "sequence"]
         for block in _rows(batches):
             sequence, sizes, _ = block.symbols(symbols)
             sequence, sizes = _of_training(sequence, sizes, block.list("held_out"))
@@ -273,16 +277,15 @@ def _pairs_and_windows(shared, share: int, rounds: int):
             before[1:] = sequence[:-1]
             before[np.cumsum(sizes) - sizes] = END
             pairs += np.bincount(before * SYMBOLS + sequence, minlength=len(pairs))
-            inputs, targets = windows(sequence, sizes, END, SYMBOLS)
-            number = (np.uint64(block.number) << np.uint64(20)) + np.arange(len(inputs), dtype=np.uint64)
+            number = (np.uint64(block.number) << np.uint64(20)) + np.arange(len(sizes), dtype=np.uint64)
             turn = mix(mix(number)) % np.uint64(share)
             for r in range(rounds):
                 pick = turn == r
                 if pick.any():
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([None], pa.int32()), pa.array([int(pick.sum())]), pa.array([r], pa.int32()),
-                        pa.array([inputs[pick].astype(np.int16).tobytes()], pa.binary()),
-                        pa.array([targets[pick].astype(np.int16).tobytes()], pa.binary())], names=names)
+                        pa.array([None], pa.int32()), pa.array([int((-(-sizes[pick] // STRIDE)).sum())]),
+                        pa.array([r], pa.int32()), pa.array([_packed(sizes[pick])], pa.binary()),
+                        pa.array([_packed(sequence[np.repeat(pick, sizes)])], pa.binary())], names=names)
         seen = np.flatnonzero(pairs)
         none = pa.nulls(len(seen))
         yield pa.RecordBatch.from_arrays([
@@ -309,20 +312,18 @@ def _train(shared, turn: int, rate: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, vector = shared.value
-        held = []
-        for batch in batches:
-            for row in range(batch.num_rows):
-                held.append([np.frombuffer(batch.column(name)[row].as_buffer(), np.int16).reshape(-1, width)
-                             for name, width in (("inputs", 2 * STRIDE), ("targets", STRIDE))])
+        held = [[batch.column(name)[row].as_buffer() for name in ("sequence", "sizes")]
+                for batch in batches for row in range(batch.num_rows)]
         if not held:
             return
         # In one order, whatever order the shuffle brought.
-        held.sort(key=lambda pair: pair[0].tobytes())
-        inputs, targets = zip(*held, strict=True)
+        held.sort(key=lambda pair: pair[0].to_pybytes())
+        sequence, sizes = (np.concatenate([_unpacked(raw) for raw in column]) for column in zip(*held, strict=True))
+        inputs, targets = windows(sequence, sizes, END, SYMBOLS)
+        seen = len(inputs)
         model = AttentionModel(prior)
         model.load(vector)
-        seen = sum(map(len, inputs))
-        model.train(np.concatenate(inputs).astype(np.intp), np.concatenate(targets).astype(np.intp), rate, seed=turn)
+        model.train(inputs, targets, rate, BATCH, seed=turn)
         value = np.rint(model.vector() / _UNIT).astype(np.int64) * seen
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value), pa.array(np.full(len(value), seen))],
@@ -337,7 +338,7 @@ def train_model(
     """The model learned from the training documents of `blocks`.
 
     A rerun of the same blocks gives the same parameters: averages are sums of
-    whole numbers, and windows are chosen by a hash of their place.
+    whole numbers, and a document's round is a hash of its place.
     """
     context = blocks.sparkSession.sparkContext
     size = Subwords.of(tokenizer).size
@@ -350,8 +351,8 @@ def train_model(
     symbols = Symbols.of(counts)
     # As many tables of pairs as tasks run at once, not as there are files.
     found = stored(blocks.drop("doc_id", "hashes").coalesce(2 * context.defaultParallelism).mapInArrow(
-        _pairs_and_windows(context.broadcast(symbols), share, len(rates)),
-        "cell int, n long, round int, inputs binary, targets binary"), "windows")
+        _pairs_and_rounds(context.broadcast(symbols), share, len(rates)),
+        "cell int, n long, round int, sizes binary, sequence binary"), "rounds")
     pairs = np.zeros(SYMBOLS * SYMBOLS)
     for r in found.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         pairs[r["cell"]] = r["n"]
@@ -360,8 +361,8 @@ def train_model(
     held = {r["round"]: r["n"] for r in found.filter("round IS NOT NULL").groupBy("round").agg(F.sum("n").alias("n")).collect()}
     for turn, rate in enumerate(rates):
         shared = context.broadcast((prior, model.vector()))
-        dealt = found.filter(F.col("round") == turn).select("inputs", "targets").repartition(
-            max(1, -(-held.get(turn, 0) // TASK_WINDOWS)), F.xxhash64("inputs"))
+        dealt = found.filter(F.col("round") == turn).select("sizes", "sequence").repartition(
+            max(1, -(-held.get(turn, 0) // TASK_WINDOWS)), F.xxhash64("sequence"))
         rows = dealt.mapInArrow(_train(shared, turn, rate), "i int, value long, weight long").groupBy("i").agg(
             F.sum("value").alias("value"), F.sum("weight").alias("weight")).collect()
         if rows:
