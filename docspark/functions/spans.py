@@ -20,12 +20,26 @@ from docspark.functions.basics import col, let, prefix_scan, prefix_sums
 SPAN_TYPE = "array<struct<start:int,end:int,label:string>>"
 
 
+def _is_whole(pattern: str) -> bool:
+    """Whether the first group is the whole match: nothing but it between
+    word boundaries, so that one pass over the text gives both."""
+    inner = re.fullmatch(r"\\b\((?!\?)(.*)\)\\b", pattern, re.S)
+    if not inner:
+        return False
+    depth, literal = 0, re.sub(r"\\.|\[[^\]]*\]", "", inner[1])
+    for c in literal:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return False
+    return True
+
+
 def _matches(text: Column, label: str, pattern: str) -> Column:
     """Of all matches, any case, Unicode classes: the characters from the end
     of the match before, those of the first group, and the label."""
     regex = f"(?iU){pattern}"
     whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(regex), F.lit(1))
+    groups = whole if _is_whole(pattern) else F.regexp_extract_all(text, F.lit(regex), F.lit(1))
     none = F.array().cast("array<struct<step:int,size:int>>")
     pieces = F.arrays_zip(F.split(text, regex, -1), whole, groups)
     # The last piece is what follows the last match.

@@ -11,7 +11,7 @@ from docspark.functions.spans import annotate_spans
 from docspark.operators import evaluation as ev
 from docspark.plans.classification import _CLASS_SQL
 from docspark.plans.registry import plan
-from docspark.session import scratch_path
+from docspark.session import scratch_path, stored
 from docspark.sources import catalogue, files
 from docspark.sources.bindings import Tables
 
@@ -132,13 +132,14 @@ def s07(t: Tables) -> DataFrame:
 @plan("s08_export_annotations")
 def s08(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "annotations")
-    annotated = t.text("id", "doc_type", "ocr_text").filter(
-        F.length("ocr_text") > 100).withColumn("entities", annotate_spans()("ocr_text"))
+    # Written once: the filter on spans would annotate every text again.
+    annotated = stored(t.text("id", "doc_type", "ocr_text").filter(
+        F.length("ocr_text") > 100).withColumn("entities", annotate_spans()("ocr_text")), "annotated")
     files.export_annotations(annotated, path)
     schema = """id bigint, doc_type string, split string,
         entities array<struct<start:int,end:int,label:string>>"""
-    stored = t.spark.read.schema(schema).json(path)
-    return stored.select("split", F.explode("entities.label").alias("label")).groupBy(
+    written = t.spark.read.schema(schema).json(path)
+    return written.select("split", F.explode("entities.label").alias("label")).groupBy(
         "split", "label").agg(F.count("*").alias("spans"))
 
 

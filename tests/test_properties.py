@@ -166,3 +166,10 @@ def test_a_one_digit_needle_is_no_hot_key(spark):
     # Partial sums stand before the only exchange by the needle.
     assert plan.index("partial_sum(v") > plan.index("Exchange hashpartitioning(n")
     assert "SortMergeJoin [n" not in plan.split("partial_sum(v")[1]
+
+
+def test_a_group_is_the_whole_match_only_between_boundaries():
+    from docspark.functions.spans import _is_whole
+
+    assert _is_whole(r"\b(ES\s?\d{6})\b") and _is_whole(r"\b(a (?:b|[)])+c)\b")
+    assert not any(map(_is_whole, (r"\bMSN\s*(\d+)\b", r"\b(a)(b)\b", r"\b(a|b)x(c)\b", r"\b(?:a)(b)\b", r"(a)")))

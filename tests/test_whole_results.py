@@ -14,6 +14,8 @@ from docspark.operators.scale import join_to_groups, running_sums
 from docspark.operators.windows import context_budget, running_statistics, segment_pages
 from docspark.streaming import streams as st
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def test_budget_takes_all_short_passages(spark):
     rows = spark.range(30).select("id", F.lit("x").alias("t"))
@@ -104,3 +106,25 @@ def test_inventory_of_a_folder(spark, tmp_path):
         (tmp_path / name).write_text("x" * 512)
     got = {(r.rel_path, r.filename, r.extension, r.file_size_kb) for r in archive_inventory(spark, str(tmp_path)).collect()}
     assert got == {("a.pdf", "a.pdf", "pdf", 0.5), ("b/C.DOCX", "C.DOCX", "docx", 0.5)}
+
+
+@pytest.mark.parametrize("name", ["s08_export_annotations", "m17_annotator_agreement"])
+def test_texts_are_annotated_in_one_scan(spark, name, monkeypatch):
+    """Before, the filter on spans and the second annotator annotated every
+    text again: the expression stood twice in what was executed."""
+    from docspark.plans import PLANS, classification, io
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    count = F.udf(seen, "string")
+    for module in (classification, io):
+        annotate = module.annotate_spans
+        monkeypatch.setattr(module, "annotate_spans", lambda annotate=annotate, **options: (
+            lambda text: annotate(**options)(F.coalesce(count(text), F.lit("")))))
+    rows = PLANS[name].run(spark, SF_DIR).collect()
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
+    assert rows and read.value <= docs
