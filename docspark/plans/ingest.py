@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +20,23 @@ from docspark.streaming.ledger import dedup_writer, published_rows
 BATCHES = 3
 
 
-def _arriving(t: Tables, docs: DataFrame, folder: str) -> DataFrame:
-    """A stream of `docs` in batches of rising ids, one file after another."""
+def _drained(t: Tables, docs: DataFrame, folder: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Runs `write` over batches of `docs` with rising ids. Each arrives as the
+    files that parallel tasks wrote, and the stream takes all there are."""
     last = docs.agg(F.max("id")).first()[0] or 0
     step = last // BATCHES + 1
     for i in range(BATCHES):
-        docs.filter((F.col("id") >= i * step) & (F.col("id") < (i + 1) * step)).coalesce(1).write.mode(
+        docs.filter((F.col("id") >= i * step) & (F.col("id") < (i + 1) * step)).write.mode(
             "append").parquet(f"{folder}/arrivals")
-    return t.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/arrivals")
+        stream = t.spark.readStream.schema(docs.schema).parquet(f"{folder}/arrivals")
+        st.drain_batches(stream, write, f"{folder}/checkpoint")
 
 
 def ingested(t: Tables, folder: str) -> Archive:
     docs = t.text("id", "filename", "rel_path", "ocr_text", "ocr_confidence", "text")
     archive = Archive(t.spark, f"{folder}/archive")
     archive.seed(aircraft=t.aircraft().select("id", "registration", "model", F.lit(False).alias("created")))
-    st.drain_batches(_arriving(t, docs, folder), archive.writer("watch", "text"), f"{folder}/checkpoint")
+    _drained(t, docs, folder, archive.writer("watch", "text"))
     return archive
 
 
@@ -68,5 +72,5 @@ def t03_ledger(t: Tables) -> DataFrame:
     known = with_content_hash(t.documents("id", "text", "status").filter("status = 'ARCHIVED'")).select(
         "sha256_hash", "id", F.lit(0).alias("at"))
     write = dedup_writer(t.spark, folder, "at", known=known)
-    st.drain_batches(_arriving(t, docs, folder), write, f"{folder}/checkpoint")
+    _drained(t, docs, folder, write)
     return published_rows(t.spark, folder).select("sha256_hash", "id")

@@ -199,3 +199,16 @@ def test_merged_segments_keep_the_last_sight(spark):
     assert len(kept) == 1 and kept[0]["rows"] == 1 and kept[0]["newest"] == 70
     assert ledger.known(kept, rows_, since=65).first()["known_id"] == 2
     assert ledger.kept(entries, since=65) == [entries[7]]
+
+
+def test_batches_arrive_as_files_of_many_tasks(spark, tmp_path):
+    """Before, one task wrote and one file held each batch."""
+    from docspark.plans import ingest
+    from docspark.sources.bindings import Tables
+
+    seen = []
+    docs = spark.range(0, 3000, 1, 6)
+    ingest._drained(Tables(spark, ""), docs, str(tmp_path), lambda batch, number: seen.append(
+        (number, batch.agg({"id": "min"}).first()[0], batch.count(), batch.select(F.input_file_name()).distinct().count())))
+    assert [s[:3] for s in seen] == [(0, 0, 1000), (1, 1000, 1000), (2, 2000, 1000)]
+    assert all(s[3] >= 2 for s in seen)
