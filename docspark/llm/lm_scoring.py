@@ -11,8 +11,8 @@ that list; it is written once and everything after reads it.
 * The model predicts symbols: the most frequent ids have one each, the others
   share symbols by bands of equal mass and are told apart by their counts.
   Every training document belongs to one of the rounds, so each of its windows
-  is trained on once. A round is dealt to tasks of about `TASK_WINDOWS`
-  windows, which train from the same parameters; Spark averages what they find.
+  is trained on once. A round's windows form groups of about `GROUP_WINDOWS`,
+  which train from the same parameters; Spark averages what they find.
 * Scoring goes over overlapping windows, so every token is scored once.
 
 What reaches the driver or is broadcast is bounded by the vocabulary of the
@@ -52,8 +52,8 @@ BATCH = 256
 SHARD_WORDS = 1_000_000
 #: What each kind of symbol pair gives to those not seen.
 DISCOUNT = 0.75
-#: Windows a task trains on in one round.
-TASK_WINDOWS = 16_384
+#: Windows that are trained on one after another, from a round's parameters.
+GROUP_WINDOWS = 16_384
 #: Parameters travel as multiples of this, so that their sums are exact.
 _UNIT = 2.0 ** -24
 _SPACE, _LOWER = 0x20, np.arange(256, dtype=np.uint8)
@@ -307,27 +307,41 @@ def _prior(pairs: np.ndarray) -> np.ndarray:
 
 # Training --------------------------------------------------------------------
 
+def _groups(rows: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (sequence, sizes) of documents, put together until they have
+    `size` windows."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for row in rows:
+        held.append(row)
+        n += int((-(-row[1] // STRIDE)).sum())
+        if n >= size:
+            yield tuple(np.concatenate(column) for column in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(column) for column in zip(*held, strict=True))
+
+
 def _train(shared, turn: int, rate: float):
-    """(i, weighted value, weight) of the parameters after a task's windows."""
+    """(i, weighted value, weight) of the parameters, summed over the groups
+    of windows in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, vector = shared.value
-        held = [[batch.column(name)[row].as_buffer() for name in ("sequence", "sizes")]
-                for batch in batches for row in range(batch.num_rows)]
-        if not held:
-            return
-        # In one order, whatever order the shuffle brought.
-        held.sort(key=lambda pair: pair[0].to_pybytes())
-        sequence, sizes = (np.concatenate([_unpacked(raw) for raw in column]) for column in zip(*held, strict=True))
-        inputs, targets = windows(sequence, sizes, END, SYMBOLS)
-        seen = len(inputs)
-        model = AttentionModel(prior)
-        model.load(vector)
-        model.train(inputs, targets, rate, BATCH, seed=turn)
-        value = np.rint(model.vector() / _UNIT).astype(np.int64) * seen
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value), pa.array(np.full(len(value), seen))],
-            names=["i", "value", "weight"])
+        rows = (tuple(_unpacked(batch.column(name)[row].as_buffer()) for name in ("sequence", "sizes"))
+                for batch in batches for row in range(batch.num_rows))
+        total, seen = np.zeros(len(vector), dtype=np.int64), 0
+        for sequence, sizes in _groups(rows, GROUP_WINDOWS):
+            inputs, targets = windows(sequence, sizes, END, SYMBOLS)
+            model = AttentionModel(prior)
+            model.load(vector)
+            model.train(inputs, targets, rate, BATCH, seed=turn)
+            total += np.rint(model.vector() / _UNIT).astype(np.int64) * len(inputs)
+            seen += len(inputs)
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), seen))],
+                names=["i", "value", "weight"])
 
     return run
 
@@ -358,11 +372,10 @@ def train_model(
         pairs[r["cell"]] = r["n"]
     prior = _prior(pairs.reshape(SYMBOLS, SYMBOLS))
     model = AttentionModel(prior, MEMBERS)
-    held = {r["round"]: r["n"] for r in found.filter("round IS NOT NULL").groupBy("round").agg(F.sum("n").alias("n")).collect()}
     for turn, rate in enumerate(rates):
         shared = context.broadcast((prior, model.vector()))
-        dealt = found.filter(F.col("round") == turn).select("sizes", "sequence").repartition(
-            max(1, -(-held.get(turn, 0) // TASK_WINDOWS)), F.xxhash64("sequence"))
+        # Read where they lie: windows need no shuffle, and a task sends one sum.
+        dealt = found.filter(F.col("round") == turn).select("sizes", "sequence")
         rows = dealt.mapInArrow(_train(shared, turn, rate), "i int, value long, weight long").groupBy("i").agg(
             F.sum("value").alias("value"), F.sum("weight").alias("weight")).collect()
         if rows:

@@ -232,3 +232,27 @@ def test_every_training_window_belongs_to_one_round(spark):
     assert sum(docs_of.values()) == docs.filter("crc32(CAST(doc_id AS STRING)) % 10 <> 0").count()
     assert sum(symbols_of.values()) == sum(r["n"] for r in found if r["cell"] is not None)
     assert set(docs_of) == set(range(len(lm.RATES)))
+
+
+def test_a_task_trains_its_groups_apart_and_sends_their_sum(monkeypatch):
+    """Before, windows were shuffled to tasks of one group each, and each sent all parameters."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+    monkeypatch.setattr(lm, "GROUP_WINDOWS", 8, raising=False)
+    random = np.random.default_rng(3)
+    rows = []
+    for n in (10, 12):
+        sizes = np.full(n, STRIDE)
+        rows.append((lm._packed(random.integers(1, lm.SYMBOLS, int(sizes.sum()))), lm._packed(sizes)))
+    model = AttentionModel(np.log(np.full((lm.SYMBOLS, lm.SYMBOLS), 1 / lm.SYMBOLS)), lm.MEMBERS)
+    train = lm._train(SimpleNamespace(value=(np.log(np.full((lm.SYMBOLS, lm.SYMBOLS), 1 / lm.SYMBOLS)), model.vector())), 0, 1e-2)
+
+    def run(held):
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.binary()) for i in (0, 1)], names=["sequence", "sizes"])
+        out, = train(iter([batch]))
+        return out.column("value").to_numpy(), out.column("weight").to_numpy()[0]
+
+    one, two, both = run(rows[:1]), run(rows[1:]), run(rows)
+    assert (one[1], two[1], both[1]) == (10, 12, 22)
+    assert (both[0] == one[0] + two[0]).all()
+    assert not list(train(iter([])))
