@@ -7,6 +7,10 @@ conditions: every trigram of a literal part of three characters or more, and
 for shorter parts the trigrams that begin with it. Texts are padded, so that
 their last characters begin trigrams as well.
 
+A block's postings are made where its texts lie, by sorting the trigrams of
+one stretch of text after another, so the shuffle moves lists of slots and not
+a row for every trigram of every document.
+
 Postings are partitioned by the first character of the trigram and sorted
 within: a search reads the partitions its conditions name, intersects the
 rarest conditions per block, and then tests only the candidates' texts.
@@ -15,15 +19,21 @@ rarest conditions per block, and then tests only the candidates' texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.session import scratch_path, stored
+from docspark.session import scratch_path, small_batches, stored
 
 BLOCK_DOCS = 4096
 SHARDS = 64
+#: Characters whose trigrams are sorted at once.
+STRETCH = 1 << 16
+#: Pairs of a trigram and a document held before their postings are written.
+MOST_PAIRS = 1 << 22
 #: Conditions that are intersected; the text decides about the others.
 MOST_CONDITIONS = 4
 #: Candidate blocks up to which the scan of texts is pruned by number.
@@ -37,12 +47,95 @@ def search_text(columns: Sequence[str]) -> Column:
     return F.lower(F.concat_ws(SEPARATOR, *columns))
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams of a text and its padding, in time linear in it."""
-    chars = F.split(F.concat(text, F.lit(_PAD * 2)), "")
-    return F.get(F.transform(F.array(chars), lambda c: F.array_distinct(F.transform(
-        F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))),
-        lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2))))), F.lit(0))
+def _stretches(texts: Sequence[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """Texts with their padding, one after another, of at most `STRETCH`
+    characters together, and the text every character is of; -1 where no
+    trigram begins. A longer text is cut so that it keeps its trigrams."""
+    parts: list[str] = []
+    sizes: list[tuple[int, int]] = []
+    n = 0
+
+    def out() -> tuple[str, np.ndarray]:
+        owner = np.repeat(np.array([[i, -1] for i, _ in sizes]).ravel(), np.array([[size - 2, 2] for _, size in sizes]).ravel())
+        return "".join(parts), owner
+
+    for i, text in enumerate(texts):
+        padded = text + _PAD * 2
+        for at in range(0, len(text), STRETCH - 2):
+            part = padded[at:at + STRETCH]
+            if n + len(part) > STRETCH and parts:
+                yield out()
+                parts, sizes, n = [], [], 0
+            parts.append(part)
+            sizes.append((i, len(part)))
+            n += len(part)
+    if parts:
+        yield out()
+
+
+def _trigrams_of(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, text) of the distinct trigrams of each text, sorted, for one
+    stretch after another; 21 bits of a code are a character."""
+    for chars, owner in _stretches(texts):
+        points = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)
+        held = np.zeros(0x110000, dtype=bool)
+        held[points] = True
+        alphabet = np.flatnonzero(held)
+        rank = np.zeros(0x110000, dtype=np.int64)
+        rank[alphabet] = np.arange(len(alphabet))
+        at = np.flatnonzero(owner >= 0)
+        ranks, n, first = rank[points], len(alphabet), owner[at[0]]
+        # Below 2^63: at most 2^16 characters, and texts of one Arrow batch.
+        wide = int(owner[at[-1]] - first) + 1
+        keys = ((ranks[at] * n + ranks[at + 1]) * n + ranks[at + 2]) * wide + owner[at] - first
+        keys.sort()
+        keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+        found, text = np.divmod(keys, wide)
+        found, last = np.divmod(found, n)
+        before, middle = np.divmod(found, n)
+        yield (alphabet[before] << 42) | (alphabet[middle] << 21) | alphabet[last], text + first
+
+
+def _lists(block: int, codes: list[np.ndarray], slots: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (trigram, block, n, slots)."""
+    code, slot = np.concatenate(codes), np.concatenate(slots).astype(np.int32)
+    order = np.argsort(code, kind="stable")
+    code, slot = code[order], slot[order]
+    # A long text has a trigram in several stretches.
+    new = np.append(True, (code[1:] != code[:-1]) | (slot[1:] != slot[:-1]))
+    code, slot = code[new], slot[new]
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    cuts = np.append(starts, len(code)).astype(np.int32)
+    points = (code[starts][:, None] >> np.array([42, 21, 0])) & 0x1FFFFF
+    chars = points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    return pa.RecordBatch.from_arrays([
+        pa.array([chars[i:i + 3] for i in range(0, len(chars), 3)], pa.string()),
+        pa.array(np.full(len(starts), block, dtype=np.int64)), pa.array(np.diff(cuts)),
+        pa.ListArray.from_arrays(cuts, pa.array(slot))], names=["trigram", "block", "n", "slots"])
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (block, slot, text) as they lie. A block may have
+    several rows of a trigram."""
+    block, codes, slots, pairs = -1, [], [], 0
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        places = batch.column("slot").to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(blocks, prepend=-1)), len(blocks)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if codes and blocks[a] != block:
+                yield _lists(block, codes, slots)
+                codes, slots, pairs = [], [], 0
+            block = int(blocks[a])
+            for code, text in _trigrams_of(batch.column("text").slice(a, b - a).to_pylist()):
+                codes.append(code)
+                slots.append(places[a:b][text])
+                pairs += len(code)
+                if pairs >= MOST_PAIRS:
+                    yield _lists(block, codes, slots)
+                    codes, slots, pairs = [], [], 0
+    if codes:
+        yield _lists(block, codes, slots)
 
 
 def _shard(first: Column) -> Column:
@@ -86,11 +179,12 @@ class TrigramIndex:
             "slot", (inside % block_docs).cast("int")).drop("_m")
         texts.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{folder}/texts")
         held = spark.read.parquet(f"{folder}/texts")
-        each = held.select("block", "slot", F.explode(trigrams(search_text(columns))).alias("trigram"))
-        lists = each.groupBy("trigram", "block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
-        lists = lists.select("trigram", "block", F.size("slots").alias("n"), "slots", _shard(F.substring("trigram", 1, 1)).alias("shard"))
-        lists.hint("rebalance", "shard").sortWithinPartitions("shard", "trigram", "block").write.options(
-            **_LITTLE_FILES).partitionBy("shard").parquet(f"{folder}/postings")
+        with small_batches(spark):
+            lists = held.select("block", "slot", search_text(columns).alias("text")).mapInArrow(
+                _post, "trigram string, block long, n int, slots array<int>").withColumn(
+                "shard", _shard(F.substring("trigram", 1, 1)))
+            lists.hint("rebalance", "shard").sortWithinPartitions("shard", "trigram", "block").write.options(
+                **_LITTLE_FILES).partitionBy("shard").parquet(f"{folder}/postings")
         return cls(spark, folder, columns)
 
     def shards_of(self, wanted: Sequence[str]) -> list[int]:

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewords import ALPHANUMERIC, Words, chunks, small_batches
-from docspark.session import stored
+from docspark.llm.bytewords import ALPHANUMERIC, Words, chunks
+from docspark.session import small_batches, stored
 
 #: Terms of the queries of one block, repeats among queries included.
 BLOCK_TERMS = 8192

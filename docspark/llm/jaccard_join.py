@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewords import NOT_SPACE, chunks, mix, small_batches
+from docspark.llm.bytewords import NOT_SPACE, chunks, mix
 from docspark.llm.components import components
-from docspark.session import stored
+from docspark.session import small_batches, stored
 
 #: Frequency table of shingle hashes: 2^20 counters in 16 parts. It only
 #: orders shingles, so collisions cost speed and never a link.

@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.attention_model import MEMBERS, STRIDE, AttentionModel, windows
-from docspark.llm.bytewords import NOT_SPACE, Words, chunks, mix, small_batches
-from docspark.session import scratch_path, stored
+from docspark.llm.bytewords import NOT_SPACE, Words, chunks, mix
+from docspark.session import scratch_path, small_batches, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pattern that cuts a text before the merges of this kind of rank file.

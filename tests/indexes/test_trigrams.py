@@ -72,3 +72,24 @@ def test_conditions():
 def test_empty_table(spark):
     index = TrigramIndex.build(spark.createDataFrame([], ROWS).drop("block"), ["name", "body"])
     assert index.containing("abc").collect() == [] and index.containing("").collect() == []
+
+
+def test_postings_are_made_in_tasks_and_equal_brute_force(spark, monkeypatch):
+    """Before, a row for every trigram of every document was shuffled."""
+    import pyarrow as pa
+    from docspark.indexes import trigrams as tri
+    random = np.random.Generator(np.random.PCG64(5))
+    texts = ["".join(random.choice(list("abcé中😀\u0002"), random.integers(0, 60))) for _ in range(300)]
+    texts[7], texts[8] = "ab" * 500 + "z", ""
+    monkeypatch.setattr(tri, "STRETCH", 64, raising=False)
+    monkeypatch.setattr(tri, "MOST_PAIRS", 500, raising=False)
+    blocks, slots = np.arange(300) // 64, np.arange(300) % 64
+    batches = [pa.RecordBatch.from_arrays([pa.array(blocks[a:a + 50]), pa.array(slots[a:a + 50].astype(np.int32)), pa.array(texts[a:a + 50])],
+                                          names=["block", "slot", "text"]) for a in range(0, 300, 50)]
+    got = {(r["trigram"], r["block"], s) for out in tri._post(iter(batches)) for r in out.to_pylist() for s in r["slots"]}
+    assert got == {((t + "\u0002\u0002")[i:i + 3], int(b), int(s)) for t, b, s in zip(texts, blocks, slots) for i in range(len(t))}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string")
+    index = TrigramIndex.build(docs.repartition(2), ["body"], block_docs=64)
+    places = {(r["block"], r["slot"]): r["body"] for r in index.texts.collect()}
+    held = {(r["trigram"], places[r["block"], s]) for r in index.postings.collect() for s in r["slots"]}
+    assert held == {((t.lower() + "\u0002\u0002")[i:i + 3], t) for t in texts for i in range(len(t))}
