@@ -56,7 +56,9 @@ class TokenIndex:
     def insert(self, docs: DataFrame, replace: bool = False) -> int:
         """Index (id, tokens) as a segment. With `replace`, earlier entries of
         the same ids are hidden by the same change."""
-        segment = self._write(docs.select(F.explode("tokens").alias("token"), F.col("id").cast("long").alias("id")).distinct())
+        # An id that comes twice may repeat a row; searches count tokens once.
+        segment = self._write(docs.select(
+            F.explode(F.array_distinct("tokens")).alias("token"), F.col("id").cast("long").alias("id")))
         tomb = self._tombstone(docs) if replace else None
 
         def change(state: State) -> State:

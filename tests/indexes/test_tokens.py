@@ -105,3 +105,16 @@ def test_one_writer_wins_a_version(spark, tmp_path):
     assert journal.update(lambda s: {"a": s["a"] + 1}) == 1 and journal.read() == (1, {"a": 2})
     assert journal.read(0) == (0, {"a": 1}) and journal.update(lambda s: None) == 1
     assert journal.versions() == [0, 1]
+
+
+def test_insert_shuffles_its_rows_once(spark, monkeypatch):
+    """Before, a second shuffle made the rows distinct."""
+    written, write = [], TokenIndex._write
+    monkeypatch.setattr(TokenIndex, "_write", lambda self, rows: written.append(rows) or write(self, rows))
+    index = TokenIndex(spark)
+    rows = [(1, ["a", "b", "a", None]), (1, ["b", "c"]), (2, ["a"]), (3, []), (4, None), (None, ["a"])]
+    index.insert(spark.createDataFrame(rows, "id long, tokens array<string>"))
+    assert "Exchange" not in written[0]._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["found"]) for r in index.search("a b c", any_of=True).collect()} == {(1, 3), (2, 1), (None, 1)}
+    assert [tuple(r) for r in index.search("a b c").collect()] == [(1, 3)]
+    assert index.rows().count() == 6
