@@ -572,3 +572,20 @@ def test_topics_of_an_article_are_no_chrome():
         assert [x for z, x in html_text.blocks_of(page) if z == html_text.MAIN] == ["Title", "The text."]
     page = '<body><div class="tag-list sidebar"><p>links</p></div><div class="post-comments"><p>c</p></div></body>'
     assert not [x for z, x in html_text.blocks_of(page) if z == html_text.MAIN]
+
+
+def test_article_text_counts_against_teasers_but_not_against_quoted_text(spark):
+    """Before, the blocks of articles were left out of the token streams."""
+    told = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(5)]
+    teaser = " ".join(told[1].split()[4:16])
+    rows = [(0, "http://h.example/0", f"<body><div>{teaser}</div><article><p>{told[0]}</p></article></body>"),
+            (1, "http://h.example/1", f"<body><article><p>{told[1]}</p></article></body>"),
+            (2, "http://h.example/2", f"<body><article><h1>t</h1><div>{told[2]}</div><div>{told[3]}</div></article></body>"),
+            (3, "http://h.example/3", f"<body><article><p>{told[2]}</p><p>{told[4]}</p></article></body>"),
+            (4, "http://h.example/4", f"<body><div>{told[4]}</div><div>own words of a page that has no article at all</div></body>"),
+            (5, "http://other.example/5", f"<body><div>{teaser}</div><article><p>{told[0]}</p></article></body>")]
+    frame = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string").repartition(3)
+    got = sorted((r.page_id, r.text) for r in html_text.main_text(frame).collect())
+    assert got == [
+        (0, told[0]), (0, told[0]), (1, told[1]), (2, f"t\n{told[2]}\n{told[3]}"), (3, f"{told[2]}\n{told[4]}"),
+        (4, f"{told[4]}\nown words of a page that has no article at all"), (5, f"{teaser}\n{told[0]}")]
