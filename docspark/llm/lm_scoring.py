@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.attention_model import MEMBERS, STRIDE, AttentionModel, windows
 from docspark.llm.bytewords import NOT_SPACE, Words, chunks, mix
-from docspark.session import scratch_path, small_batches, stored
+from docspark.session import fine_scans, scratch_path, small_batches, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pattern that cuts a text before the merges of this kind of rank file.
@@ -54,6 +54,8 @@ SHARD_WORDS = 1_000_000
 DISCOUNT = 0.75
 #: Windows that are trained on one after another, from a round's parameters.
 GROUP_WINDOWS = 16_384
+#: How windows are written, so that a file makes several tasks.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "4"}
 #: Parameters travel as multiples of this, so that their sums are exact.
 _UNIT = 2.0 ** -24
 _SPACE, _LOWER = 0x20, np.arange(256, dtype=np.uint8)
@@ -309,17 +311,22 @@ def _prior(pairs: np.ndarray) -> np.ndarray:
 
 def _groups(rows: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (sequence, sizes) of documents, put together until they have
-    `size` windows."""
+    `size` windows; what is left over at the end goes with the last group."""
+    def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+    whole: list[tuple[np.ndarray, np.ndarray]] = []
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
     for row in rows:
         held.append(row)
         n += int((-(-row[1] // STRIDE)).sum())
         if n >= size:
-            yield tuple(np.concatenate(column) for column in zip(*held, strict=True))
-            held, n = [], 0
-    if held:
-        yield tuple(np.concatenate(column) for column in zip(*held, strict=True))
+            if whole:
+                yield joined(whole)
+            whole, held, n = held, [], 0
+    if whole or held:
+        yield joined(whole + held)
 
 
 def _train(shared, turn: int, rate: float):
@@ -364,9 +371,10 @@ def train_model(
             counts[r["id"]] = r["n"]
     symbols = Symbols.of(counts)
     # As many tables of pairs as tasks run at once, not as there are files.
-    found = stored(blocks.drop("doc_id", "hashes").coalesce(2 * context.defaultParallelism).mapInArrow(
+    # Row groups of a few blocks, which tasks of training can share out.
+    found = _stored_small(blocks.drop("doc_id", "hashes").coalesce(2 * context.defaultParallelism).mapInArrow(
         _pairs_and_rounds(context.broadcast(symbols), share, len(rates)),
-        "cell int, n long, round int, sizes binary, sequence binary"), "rounds")
+        "cell int, n long, round int, sizes binary, sequence binary"), "rounds", **ROW_GROUPS)
     pairs = np.zeros(SYMBOLS * SYMBOLS)
     for r in found.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         pairs[r["cell"]] = r["n"]
@@ -489,10 +497,10 @@ def is_held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def _stored_small(frame: DataFrame, name: str) -> DataFrame:
+def _stored_small(frame: DataFrame, name: str, **options: str) -> DataFrame:
     """As `stored`, with stronger compression."""
     path = scratch_path(frame.sparkSession, name)
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.options(compression="zstd", **options).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -516,8 +524,8 @@ def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER, share: int = SHARE) -
     other columns are not read.
     """
     spark = docs.sparkSession
-    # Rows of blocks are some MB each.
-    with small_batches(spark, 4):
+    # Rows of blocks are some MB each, and tasks over them long.
+    with small_batches(spark, 4), fine_scans(spark):
         return _scores(docs, tokenizer, share)
 
 

@@ -256,3 +256,47 @@ def test_a_task_trains_its_groups_apart_and_sends_their_sum(monkeypatch):
     assert (one[1], two[1], both[1]) == (10, 12, 22)
     assert (both[0] == one[0] + two[0]).all()
     assert not list(train(iter([])))
+
+
+def test_rows_are_summed_by_symbol():
+    """Before, rows of each table were sorted and summed one after another."""
+    model = small_model()
+    random = np.random.Generator(np.random.PCG64(5))
+    symbols = random.choice([0, 1, 1, 1, 1, 5, 12], 300)
+    symbols[7] = 9
+    rows = random.normal(size=(300, 6)).astype(np.float32)
+    want = np.zeros((13, 6))
+    np.add.at(want, symbols, rows)
+    assert np.allclose(model._by_symbol(symbols, rows), want[:12], atol=1e-4)
+
+
+def test_large_and_small_logits_keep_their_shares():
+    """Rows are shifted only where their exponentials would not fit."""
+    from docspark.llm.attention_model import _exponentials
+    for shift in (0, 500, -500):
+        logits = np.array([[1, 2, 3], [shift, shift + 1, shift + 2]], dtype=np.float32)
+        shares, logs, total = _exponentials(logits)
+        assert np.allclose(shares / total[:, None], [[.0900306, .2447285, .6652410]] * 2, atol=1e-5)
+        assert np.allclose(logs, [3.4076059, shift + 2.4076059], atol=1e-3)
+
+
+def test_scans_have_several_tasks_per_core(spark, tmp_path):
+    """Before, files were put together to one task per core, and some cores got two."""
+    from docspark.session import fine_scans
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(4 * cores).repartition(4 * cores).write.parquet(str(tmp_path / "files"))
+    n_files = len(list((tmp_path / "files").glob("*.parquet")))
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    with fine_scans(spark):
+        assert spark.read.parquet(str(tmp_path / "files")).rdd.getNumPartitions() == n_files
+    assert spark.conf.get(name, None) == before
+
+
+def test_left_over_windows_go_with_the_last_group():
+    """Before, they were a small group of their own, one in every task."""
+    rows = [(np.full(STRIDE * n, n), np.full(n, STRIDE)) for n in (10, 12, 3)]
+    for held, want in ((rows, [10, 15]), (rows[2:], [3]), (rows[:1], [10]), ([], [])):
+        groups = list(lm._groups(iter(held), 8))
+        assert [len(sizes) for _, sizes in groups] == want
+        assert [len(sequence) for sequence, _ in groups] == [n * STRIDE for n in want]
